@@ -4,22 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skerry.llm import quality_rules, secret_scan
-from skerry.session import table
+from skerry.llm import packing, quality_rules, secret_scan, token_files
+from skerry.session import shared_folder, table
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scanned(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, most=2048)
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.encoded(table(spark, sf_dir, "documents"), shared_folder(spark), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_packing": op3_packing,
+    "op4_token_files": op4_token_files,
     "op5_quality_rules": op5_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Classes of UTF-8 bytes.
 BLANK, LETTER, DIGIT, PUNCT, WIDE = range(5)
@@ -19,8 +20,8 @@ LOWER[65:91] += 32
 def sliced(batches: Iterator[pa.RecordBatch], text_at: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that the texts of each hold about so many bytes (a longer text stands alone)."""
     for batch in batches:
-        sizes = np.frombuffer(pa.compute.binary_length(pa.compute.fill_null(batch.column(text_at), "")).cast(pa.int64()).buffers()[1], np.int64, len(batch))
-        part = np.cumsum(sizes) // most_bytes
+        sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // most_bytes
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
@@ -29,7 +30,7 @@ def sliced(batches: Iterator[pa.RecordBatch], text_at: int, most_bytes: int = 4
 
 def as_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All UTF-8 bytes of the texts (null: none) end to end, and the n + 1 offsets of the texts in them."""
-    texts = pa.concat_arrays([pa.compute.fill_null(texts, "")]).cast(pa.large_string())
+    texts = pa.concat_arrays([pc.fill_null(texts, "")]).cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skerry.llm import packing, quality_rules, secret_scan, token_files
+from skerry.llm import near_dup, packing, quality_rules, secret_scan, token_files
 from skerry.session import shared_folder, table
 
 
@@ -27,11 +27,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
 
+def op10_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.linked(table(spark, sf_dir, "documents"), radius=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
     "op5_quality_rules": op5_quality_rules,
+    "op10_simhash_near_dup": op10_simhash_near_dup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": quality_rules.ORACLE_SQL,

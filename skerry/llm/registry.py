@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skerry.llm import near_dup, packing, quality_rules, secret_scan, token_files
+from skerry.llm import near_dup, nearest, packing, quality_rules, secret_scan, token_files
 from skerry.session import shared_folder, table
 
 
@@ -27,6 +28,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op10_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.linked(table(spark, sf_dir, "documents"), radius=3)
 
@@ -36,8 +41,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
     "op5_quality_rules": op5_quality_rules,
+    "op6_nearest": op6_nearest,
     "op10_simhash_near_dup": op10_simhash_near_dup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": quality_rules.ORACLE_SQL,
+    "op6_nearest": nearest.ORACLE_SQL,
 }

@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import near_dup, nearest, packing, quality_rules, secret_scan, token_files
+from skerry.llm import mixing, near_dup, nearest, packing, quality_rules, secret_scan, token_files, url_filter
 from skerry.session import shared_folder, table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scanned(table(spark, sf_dir, "documents"))
 
@@ -32,19 +36,26 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.linked(table(spark, sf_dir, "documents"), radius=3)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_secret_scan": op2_secret_scan,
     "op3_packing": op3_packing,
     "op4_token_files": op4_token_files,
     "op5_quality_rules": op5_quality_rules,
     "op6_nearest": op6_nearest,
+    "op9_url_filter": op9_url_filter,
     "op10_simhash_near_dup": op10_simhash_near_dup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": quality_rules.ORACLE_SQL,
     "op6_nearest": nearest.ORACLE_SQL,
+    "op9_url_filter": url_filter.ORACLE_SQL,
 }

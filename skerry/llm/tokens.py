@@ -8,13 +8,15 @@ cache of bounded size. Texts with blanks outside ASCII are encoded whole.
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from skerry.llm.arrow_text import BLANK, CLASS, LETTER, LOWER, PUNCT, WIDE, as_bytes, per_text, pieces, starts_of
 
-CACHED = 400_000
+CACHED = 1_000_000
 SCHEMES = ("bytes", "words")
 
 
@@ -45,10 +47,32 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.cache: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.chunks = pa.array([], pa.large_string())
+        self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, self.dtype)
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each text, and all ids end to end."""
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, each), np.int64, len(each))
+        return lengths, np.fromiter(chain.from_iterable(each), self.dtype, int(lengths.sum()))
+
+    def _learn(self, distinct: pa.Array) -> np.ndarray:
+        """Places in the cache of the distinct chunks, of which those not yet there are encoded."""
+        if len(self.chunks) > CACHED:
+            self._forget()
+        at = pc.index_in(distinct, value_set=self.chunks)
+        if at.null_count:
+            new = distinct.filter(at.is_null())
+            lengths, flat = self._ids(new.to_pylist())
+            place = pc.cast(at, pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False).copy()
+            place[place < 0] = len(self.chunks) + np.arange(len(new))
+            self.chunks = pa.concat_arrays([self.chunks, new])
+            self.lengths, self.flat = np.append(self.lengths, lengths), np.append(self.flat, flat)
+            return place
+        return at.to_numpy(zero_copy_only=False)
 
     def _starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         c = CLASS[data]
@@ -75,27 +99,19 @@ class Encoder:
             folded[held] = data[held]  # a mark may join the letter before it: the tokenizer folds these itself
             data = folded
         chunks = pieces(data, starts).dictionary_encode()
-        distinct = chunks.dictionary.to_pylist()
-        cache = self.cache
-        if len(cache) > CACHED:
-            cache.clear()
-        known = [cache.get(x) for x in distinct]
-        new = [i for i, x in enumerate(known) if x is None]
-        for i, ids in zip(new, self._ids([distinct[i] for i in new])):
-            known[i] = cache[distinct[i]] = ids
-        size = self.dtype.itemsize
-        lengths = np.fromiter(map(len, known), np.int64, len(known)) // size
-        flat = np.frombuffer(b"".join(known), self.dtype)
+        which = self._learn(chunks.dictionary)[chunks.indices.to_numpy()]
+        lengths, flat = self.lengths, self.flat
         first = np.cumsum(lengths) - lengths
-        which = chunks.indices.to_numpy()
         counts = lengths[which]
         ends = np.cumsum(counts)
         ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[which] - (ends - counts), counts)]
         cuts = np.append(0, ends)[per_text(starts, offsets)]
         out = [ids[a:b] for a, b in zip(cuts, cuts[1:])]
         odd = np.unique(np.searchsorted(offsets, _odd_blanks(data), side="right") - 1)
-        for i, raw in zip(odd, self._ids([texts[int(i)].as_py() for i in odd]) if len(odd) else ()):
-            out[i] = np.frombuffer(raw, self.dtype)
+        if len(odd):
+            lengths, flat = self._ids([texts[int(i)].as_py() for i in odd])
+            for i, ids in zip(odd, np.split(flat, np.cumsum(lengths)[:-1])):
+                out[i] = ids
         return out
 
 

@@ -6,12 +6,13 @@ and a payload is
     u8 1 if the id is null | u8 bytes per token | i64 id | token ids
 all little-endian. A checksum is masked by rotating it right by 15 bits and adding a constant, as stored checksums
 of data that itself holds checksums should be. Spark's writer commits the files, so a lost executor leaves no half
-file, and any file system that Spark can write will do. The index is a Parquet table (file, offset, length, id,
-tokens, tokens before it), with which single records are fetched in any order.
+file, and any file system that Spark can write will do. The index is a Parquet table (file and
+its place in order, offset, length, id, tokens, tokens before it in the file), with which single records are fetched
+in any order; the tokens before a file follow from it.
 
 Defined results: a null text counts as empty and yields the end id only; null ids come first; rows with equal ids
 are ordered by their text; repeated rows each get a record; other columns are not read. An empty table gives
-no records. Memory in a task follows the largest file, whose size is a parameter.
+no records. Memory in a task follows the largest file, whose number of records is a parameter.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from skerry.llm.arrow_text import sliced
 
 MASK = 0xA282EAD8
 _HEAD, _SUM, _META = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<BBq")
-FILE_BYTES = 24 << 20
+PART_BYTES, FILE_RECORDS = 32 << 20, 2_048
 
 
 def masked(data: bytes) -> int:
@@ -60,25 +61,25 @@ def unframe(content: bytes | memoryview, at: int) -> tuple[int | None, np.ndarra
     return None if null else doc_id, np.frombuffer(payload[_META.size :], f"<u{width}"), at + length + 17
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> None:
+def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES, file_records: int = FILE_RECORDS) -> None:
     """Encodes every text and writes the records under path, files and records in ascending id order."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    files = max(1, -(-total // file_bytes))
+    parts = max(1, -(-total // part_bytes))
 
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(tokenizer, "bytes")
         end = np.array([end_id], encoder.dtype)
-        for batch in sliced(batches, 1):
+        for batch in sliced(batches, 1, 2 << 20):
             frames = [frame(i, np.concatenate([ids, end])) for i, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)))]
             yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
 
-    ordered = rows.repartitionByRange(files, "id").sortWithinPartitions("id", "text")
-    ordered.mapInArrow(framed, "frame binary").select(F.col("frame").cast("string").alias("value")).write.text(path)
+    ordered = rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
+    ordered.mapInArrow(framed, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("maxRecordsPerFile", file_records).text(path)
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """file, its number, offset, length, id, n_tokens, ids_crc32 and tokens before it in its file; checksums are verified."""
+    """file, its part and roll (its place in order), offset, length, id, n_tokens, ids_crc32 and tokens before it in its file; checksums are verified."""
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,17 +97,20 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     kinds = [pa.string(), *[pa.int64()] * 6]
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     found = files.mapInArrow(parsed, "file string, offset long, length long, id long, n_tokens long, ids_crc32 long, before long")
-    return found.withColumn("number", F.regexp_extract("file", r"part-(\d+)", 1).cast("long"))
+    place = lambda k: F.regexp_extract("file", r"part-(\d+)-.*-c(\d+)[^/]*$", k).cast("long")
+    return found.withColumns({"part": place(1), "roll": place(2)})
 
 
 def write_index(spark: SparkSession, path: str, index_path: str) -> None:
-    """The offset index of the files under path; `start` counts the tokens of all records before."""
-    found = records(spark, path)
-    # One row a file: small beside the files themselves.
-    files = found.groupBy("file", "number").agg(F.sum("n_tokens").alias("n"))
-    earlier = files.select("file", F.coalesce(F.sum("n").over(Window.orderBy("number", "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
-    placed = found.drop("ids_crc32").join(earlier, "file")
-    placed.select("file", "number", "offset", "length", "id", "n_tokens", (F.col("earlier") + F.col("before")).alias("start")).write.parquet(index_path)
+    """The offset index of the files under path: one row a record, with the tokens before it in its file."""
+    records(spark, path).drop("ids_crc32").write.parquet(index_path)
+
+
+def file_starts(index: DataFrame) -> DataFrame:
+    """(file, first): tokens in all files before it; one row a file, which is little beside the files themselves."""
+    files = index.groupBy("file", "part", "roll").agg(F.sum("n_tokens").alias("n"))
+    earlier = F.sum("n").over(Window.orderBy("part", "roll").rowsBetween(Window.unboundedPreceding, -1))
+    return files.select("file", F.coalesce(earlier, F.lit(0)).alias("first"))
 
 
 def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
@@ -123,12 +127,11 @@ def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     return files.join(places, "file").select("content", "places").mapInArrow(cut, "id long, order long, ids array<long>")
 
 
-def encoded(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = FILE_BYTES) -> DataFrame:
+def encoded(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES, file_records: int = FILE_RECORDS) -> DataFrame:
     """Writes records and index in a new folder under `folder` and returns what reading them back gives: id, start, n_tokens, ids_crc32."""
     spark = docs.sparkSession
     base = f"{folder}/tokens-{uuid.uuid4().hex}"
-    write_records(docs, f"{base}/records", tokenizer, end_id, id_col, text_col, file_bytes)
+    write_records(docs, f"{base}/records", tokenizer, end_id, id_col, text_col, part_bytes, file_records)
     write_index(spark, f"{base}/records", f"{base}/index")
-    starts = spark.read.parquet(f"{base}/index").groupBy("file").agg(F.min("start").alias("first"))
-    read = records(spark, f"{base}/records").join(starts, "file")
+    read = records(spark, f"{base}/records").join(file_starts(spark.read.parquet(f"{base}/index")), "file")
     return read.select(F.col("id").alias(id_col), (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

@@ -17,7 +17,7 @@ def test_round_trip_of_odd_rows(spark):
     texts = ["b", None, "", "a b  c\n\n", "newline\n" * 50, "é" * 3000, "<|endoftext|>"]
     docs = [(7 - i, t, "x", 0) for i, t in enumerate(texts)] + [(None, "null id", "x", 0), (5, "b", "x", 0), (5, "b", "x", 0)]
     df = spark.createDataFrame(docs, SCHEMA)
-    got = sorted((tuple(r) for r in f.encoded(df, shared_folder(spark), PATH, 2, file_bytes=2000).collect()), key=lambda r: r[1])
+    got = sorted((tuple(r) for r in f.encoded(df, shared_folder(spark), PATH, 2, part_bytes=2000, file_records=3).collect()), key=lambda r: r[1])
     t = Tokenizer.from_file(PATH)
     t.encode_special_tokens = True
     want, start = [], 0
@@ -31,7 +31,7 @@ def test_round_trip_of_odd_rows(spark):
 def test_index_serves_shuffled_reads(spark):
     df = spark.createDataFrame([(i, f"text number {i} " * (i % 7), "", 0) for i in range(200)], SCHEMA)
     base = f"{shared_folder(spark)}/shuffled"
-    f.write_records(df, f"{base}/r", PATH, 2, file_bytes=3000)
+    f.write_records(df, f"{base}/r", PATH, 2, part_bytes=3000, file_records=7)
     f.write_index(spark, f"{base}/r", f"{base}/i")
     index = spark.read.parquet(f"{base}/i")
     assert index.count() == 200 and index.select("file").distinct().count() > 3

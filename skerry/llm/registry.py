@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import mixing, near_dup, nearest, packing, quality_rules, secret_scan, token_files, url_filter
+from skerry.llm import mixing, near_dup, nearest, packing, quality_model, quality_rules, secret_scan, token_files, toxicity, url_filter
+from skerry.llm.labelled import remainder
 from skerry.session import shared_folder, table
 
 
@@ -36,6 +37,19 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, part = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 3)
+    model = quality_model.fitted(docs, table(spark, sf_dir, "labels"), part != 1)
+    return quality_model.scored(docs, model).select("doc_id", (part == 1).alias("held_out"), "score", "predicted")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, part = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 5)
+    model = toxicity.fitted(docs, table(spark, sf_dir, "labels"), part != 0)
+    return toxicity.scored(docs, model).select("doc_id", (part == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"))
 
@@ -51,6 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op5_quality_rules": op5_quality_rules,
     "op6_nearest": op6_nearest,
+    "op7_quality_model": op7_quality_model,
+    "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
     "op10_simhash_near_dup": op10_simhash_near_dup,
 }

@@ -1,0 +1,101 @@
+import itertools
+import math
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from skerry.llm import quality_model as q
+from skerry.llm import toxicity as t
+from skerry.llm.labelled import labelled_sample, remainder
+from skerry.llm.word_hashes import Words
+
+SCHEMA = "doc_id long, text string, lang string, score int, label int"
+LABELS = "doc_id long, quality int, toxic int, text string"
+
+
+def rows(n, seed=0):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice(["ba", "ko", "ti", "ru", "ne", "lo"]) for _ in range(rng.randint(1, 4)))
+    out, labels = [], []
+    for i in range(n):
+        w = [word() for _ in range(rng.randint(20, 120))]
+        bad, toxic = i % 4 == 0, i % 5 == 1
+        if bad:
+            w = [x.upper() + "!!" for x in w]
+        if toxic:
+            at = rng.randrange(len(w))
+            w[at:at] = [rng.choice(["grubnik", "zlotch", "vremm" + word()]) for _ in range(rng.randint(1, 3))]
+        out.append((i, " ".join(w), "xx", 0, 1))
+        labels.append((i, int(not bad), int(toxic), "clash"))
+    return out, labels
+
+
+def test_tokens_and_their_hashes():
+    texts = ["Ab,cd  12é!", None, "", "ab", "x" * 9000 + " ab", "AB Ab"]
+    w = Words(pa.array(texts))
+    assert np.diff(w.offsets).tolist() == [6, 0, 0, 1, 2, 2] and w.kinds.tolist() == [1, 3, 1, 2, 1, 3, 1, 1, 1, 1, 1]
+    h = w.hashes()
+    assert h[0] == h[6] == h[8] == h[9] == h[10] and len(set(h.tolist())) == 7
+    assert w.upper().tolist()[-2:] == [2, 1] and w.upper()[0] == 1
+    p = w.prefix_hashes(2)
+    assert p[0] == p[6] and p[1] == 0
+    assert np.array_equal(Words(pa.array(texts[3:])).hashes(), h[6:])
+
+
+def test_best_and_maximal_segments_match_brute_force():
+    rng = random.Random(2)
+    for _ in range(400):
+        s = [rng.choice([-2.0, -1.0, -0.5, 1.0, 1.5, 3.0]) for _ in range(rng.randint(0, 14))]
+        sums = {(a, b): sum(s[a:b]) for a, b in itertools.combinations(range(len(s) + 1), 2)}
+        want = max([0.0, *sums.values()])
+        assert t.best_segments(np.array(s), np.array([0, 0, len(s)])).tolist() == [0.0, want]
+        got = t.maximal_segments(s)
+        assert all(math.isclose(v, sums[a, b]) for a, b, v in got)
+        assert max([0.0, *(v for *_, v in got)]) == want
+        assert all(x[1] <= y[0] for x, y in zip(got, got[1:]))
+        for a, b, v in got:  # no segment within scores as much, none around it has only smaller prefixes and suffixes
+            assert all(sums[c, d] < v for c, d in sums if a <= c and d <= b and (c, d) != (a, b))
+        assert sum(b - a for a, b, _ in got) >= sum(x > 0 for x in s)
+
+
+def test_ftrl_and_segments_learn_what_held_out_rows_show(spark):
+    docs, labels = rows(900)
+    docs += [(5000, None, "", 0, 0), (5001, "", "", 0, 0), (None, docs[0][1], "", 0, 0), (7, docs[7][1], "", 0, 0), (5002, "e" * 300000, "", 0, 0)]
+    labels += [(3, 1, 1, ""), (None, 1, 1, ""), (5000, None, None, ""), (9999, 1, 1, "")]
+    d, lab = spark.createDataFrame(docs, SCHEMA).repartition(3), spark.createDataFrame(labels, LABELS)
+    truth = {r[0]: r for r in labels[:900]}
+    for module, column, n, held in ((q, 1, 3, 1), (t, 2, 5, 0)):
+        learn = remainder(F.col("doc_id"), n) != held if module is q else remainder(F.col("doc_id"), n) != 0
+        model = module.fitted(d, lab, learn)
+        got = module.scored(d, model).collect()
+        assert len(got) == len(docs) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+        out = [r for r in got if r.doc_id in truth and zlib.crc32(str(r.doc_id).encode()) % n == held]
+        right = sum(r.predicted == truth[r.doc_id][column] for r in out) / len(out)
+        assert len(out) > 100 and right > 0.95, (module.__name__, right)
+        again = module.scored(d, module.fitted(d.repartition(2), lab, learn)).collect()
+        key = lambda r: (r.doc_id is None, r.doc_id, r.score)
+        assert sorted(map(key, got)) == sorted(map(key, again))
+    found = t.passages(d, model).collect()
+    assert len({r.doc_id for r in found if truth.get(r.doc_id, (0, 0, 0))[2]}) > 150
+    assert all(r.first <= r.last and r.e <= 0.01 for r in found)
+
+
+def test_no_labels_and_empty_tables(spark):
+    docs, _ = rows(5)
+    d, none = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame([], LABELS)
+    for module, score in ((q, 0.5), (t, 0.0)):
+        model = module.fitted(d, none, F.lit(True))
+        assert all(abs(r.score - score) < 1e-9 for r in module.scored(d, model).collect())
+        assert module.scored(spark.createDataFrame([], SCHEMA), model).count() == 0
+    one = spark.createDataFrame([(i, 1, 0, "") for i in range(5)], LABELS)
+    assert all(r.predicted == 0 for r in t.scored(d, t.fitted(d, one, F.lit(True))).collect())
+
+
+def test_sample_is_bounded(spark):
+    docs, labels = rows(60)
+    d, lab = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, LABELS)
+    got = labelled_sample(d, lab, F.lit(True), "doc_id", "text", "toxic", 17)
+    assert got.count() == 17 and got.columns == ["text", "label"]

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skerry.plans import pairs
+from skerry.plans import census, pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (pairs,):
+for module in (pairs, census):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL

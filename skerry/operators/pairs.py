@@ -45,20 +45,21 @@ def range_join(points: DataFrame, radius: float, dims: int = 2, id_col: str = "v
     return near.withColumn("d", vectors.distance(F.col("za"), F.col("zb"))).where(F.col("d") < radius).select("i", "j", *equal, "d")
 
 
-def nearest(points: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", cat_col: str | None = "label", queries: Column | None = None, tile: int = TILE_ROWS) -> DataFrame:
+def nearest(points: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", cat_col: str | None = "label", queries: Column | None = None, candidates: Column | None = None, tile: int = TILE_ROWS) -> DataFrame:
     """(query_id, rank, neighbour_id, d): the k nearest other rows (of the category, if one is named), ties by id.
 
     Rows are dealt into tiles of bounded size for each category; each pair of tiles is one group.
     """
     cat = F.lit(0) if cat_col is None else F.col(cat_col)
     asks = F.lit(True) if queries is None else queries
-    rows = points.select(F.col(id_col).cast("long").alias("id"), cat.alias("cat"), F.col(vector_col).cast("array<double>").alias("z"), asks.alias("asks"))
+    held = F.lit(True) if candidates is None else candidates
+    rows = points.select(F.col(id_col).cast("long").alias("id"), cat.alias("cat"), F.col(vector_col).cast("array<double>").alias("z"), asks.alias("asks"), held.alias("held"))
     rows = rows.where("id IS NOT NULL AND z IS NOT NULL")
     tiles = rows.groupBy("cat").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     dealt = rows.join(F.broadcast(tiles), "cat").withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     left = dealt.where("asks").select("cat", F.col("own").alias("q"), every.alias("c"), "id", "z")
-    right = dealt.select(F.col("cat").alias("cat"), every.alias("q"), F.col("own").alias("c"), F.col("id").alias("id"), F.col("z").alias("z"))
+    right = dealt.where("held").select(F.col("cat").alias("cat"), every.alias("q"), F.col("own").alias("c"), F.col("id").alias("id"), F.col("z").alias("z"))
 
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
         found: list[tuple[np.ndarray, ...]] = []

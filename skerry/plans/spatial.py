@@ -82,14 +82,15 @@ def rmse_vs_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(v.by_nearest(near, 10))
 
 
-@both(f"""WITH {N}, m AS (SELECT k, avg(d) AS nn FROM (SELECT 100 * x AS k, n.query_id, min(d) AS d FROM n CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS x) WHERE neighbour_id < 100 * x AND query_id >= 400 GROUP BY 1, 2) GROUP BY k) SELECT round(regr_slope(ln(nn), ln(k)), 6) AS slope, round(-1 / regr_slope(ln(nn), ln(k)), 4) AS d_eff FROM m""")
+@both(f"""WITH {N}, c AS (SELECT k, query_id, min(d) AS d FROM n CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS k) WHERE query_id % 5 = 0 AND neighbour_id % 5 <> 0 AND neighbour_id // 5 % 4 < k GROUP BY 1, 2), m AS (SELECT k, avg(d) AS nn FROM c GROUP BY k)
+  SELECT round(regr_slope(ln(nn), ln(k)), 6) AS slope, round(-1 / regr_slope(ln(nn), ln(k)), 4) AS d_eff FROM m""")
 def nn_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slope of log nearest distance on log size, for nested sets of 100 to 400 rows."""
-    p = points(spark, sf_dir)
-    parts = []
-    for n in (100, 200, 300, 400):
-        near = pairs.nearest(p, 1, cat_col=None, queries=F.col("vec_id") >= 400, candidates=F.col("vec_id") < n)
-        parts.append(near.groupBy("query_id").agg(F.min("d").alias("d")).agg(F.avg("d").alias("nn")).withColumn("k", F.lit(n)))
+    """Slope of log nearest distance on log size: a fifth of the rows asks nested quarters, up to all, of the rest."""
+    p, parts = points(spark, sf_dir), []
+    for k in (1, 2, 3, 4):
+        held = (F.col("vec_id") % 5 != 0) & (F.floor(F.col("vec_id") / 5) % 4 < k)
+        near = pairs.nearest(p, 1, cat_col=None, queries=F.col("vec_id") % 5 == 0, candidates=held)
+        parts.append(near.agg(F.avg("d").alias("nn")).withColumn("k", F.lit(k)))
     curve = parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
     slope = F.regr_slope(F.log("nn"), F.log("k"))
     return curve.agg(F.round(slope, 6).alias("slope"), F.round(-1 / slope, 4).alias("d_eff"))

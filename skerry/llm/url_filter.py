@@ -81,7 +81,7 @@ def _grams(s: Column) -> Column:
 def log_ratios(taught: DataFrame) -> DataFrame:
     """(gram, ratio): log p(accepted) - log p(rejected), from (verdict, grams); empty without both verdicts."""
     spark = taught.sparkSession
-    counts = taught.select("verdict", F.explode("grams").alias("g")).groupBy("verdict", "g").agg(F.count("*").alias("n"))
+    counts = durable(taught.select("verdict", F.explode("grams").alias("g")).groupBy("verdict", "g").agg(F.count("*").alias("n")))
     one, two = F.col("g") % SYMBOLS, F.col("g") % (SYMBOLS * SYMBOLS)
     counts = counts.select("verdict", "n", one.alias("c1"), two.alias("c2"), F.col("g").alias("c3"))
     # All below has at most SYMBOLS^3 rows for each verdict, whatever the input.

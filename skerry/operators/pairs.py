@@ -45,6 +45,41 @@ def range_join(points: DataFrame, radius: float, dims: int = 2, id_col: str = "v
     return near.withColumn("d", vectors.distance(F.col("za"), F.col("zb"))).where(F.col("d") < radius).select("i", "j", *equal, "d")
 
 
+def tiled_range_join(points: DataFrame, radius: float, id_col: str = "vec_id", vector_col: str = "embedding", cat_col: str | None = None, tile: int = TILE_ROWS) -> DataFrame:
+    """(i, j, d) for all pairs i < j nearer than the radius, for vectors of many dimensions, where cells hold no one back.
+
+    Tiles of bounded size meet once each; distances are direct differences and only the pairs found leave a task.
+    """
+    cat = F.lit(0) if cat_col is None else F.col(cat_col)
+    rows = points.select(F.col(id_col).cast("long").alias("id"), cat.alias("cat"), F.col(vector_col).cast("array<double>").alias("z")).where("id IS NOT NULL AND z IS NOT NULL")
+    tiles = rows.groupBy("cat").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    dealt = rows.join(F.broadcast(tiles), "cat").withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    left = dealt.select("cat", F.col("own").alias("q"), F.explode(F.sequence("own", F.col("tiles") - 1)).alias("c"), "id", "z")
+    right = dealt.select(F.col("cat").alias("cat"), F.explode(F.sequence(F.lit(0), "own")).alias("q"), F.col("own").alias("c"), F.col("id").alias("id"), F.col("z").alias("z"))
+
+    def search(key, a: pa.Table, b: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, ...]] = []
+        if a.num_rows and b.num_rows:
+            qi, ci = a.column("id").to_numpy(), b.column("id").to_numpy()
+            x, y = (np.array(t.column("z").to_pylist()) for t in (a, b))
+            same = key[1].as_py() == key[2].as_py()
+            for s in range(0, len(x), 256):
+                d = np.zeros((len(x[s : s + 256]), len(y)))
+                for n in range(x.shape[1]):
+                    d += (x[s : s + 256, n, None] - y[None, :, n]) ** 2
+                d = np.sqrt(d)
+                near = d < radius
+                if same:
+                    near &= qi[s : s + 256, None] < ci[None, :]
+                r, k = np.nonzero(near)
+                found.append((np.minimum(qi[s + r], ci[k]), np.maximum(qi[s + r], ci[k]), d[r, k]))
+        parts = [np.concatenate(p) for p in zip(*found)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+        return pa.table({"i": pa.array(parts[0], pa.int64()), "j": pa.array(parts[1], pa.int64()), "d": pa.array(parts[2], pa.float64())})
+
+    found = left.groupBy("cat", "q", "c").cogroup(right.groupBy("cat", "q", "c")).applyInArrow(search, "i long, j long, d double")
+    return found.where("i < j")
+
+
 def nearest(points: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", cat_col: str | None = "label", queries: Column | None = None, candidates: Column | None = None, tile: int = TILE_ROWS) -> DataFrame:
     """(query_id, rank, neighbour_id, d): the k nearest other rows (of the category, if one is named), ties by id.
 

@@ -114,7 +114,7 @@ def kernel_to_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @both(f"WITH {N} SELECT query_id AS i, neighbour_id AS j, round(d, 6) AS d FROM n WHERE query_id < neighbour_id AND d < 1.1")
 def pair_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.range_join(points(spark, sf_dir), 1.1).withColumn("d", F.round("d", 6))
+    return pairs.tiled_range_join(points(spark, sf_dir), 1.1).withColumn("d", F.round("d", 6))
 
 
 @both(f"WITH {N} SELECT query_id, rank::INTEGER AS rank, neighbour_id, round(d, 6) AS d FROM s WHERE rank <= 5")
@@ -212,7 +212,7 @@ def knn_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @both(f"WITH {D} SELECT count(*) AS pairs, round(0.5 * avg((yi - yj) * (yi - yj)), 6) AS nugget FROM d WHERE d < 1.2")
 def near_dup_nugget(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
-    near = pairs.range_join(p, 1.2, equal=["label"])
+    near = pairs.tiled_range_join(p, 1.2, cat_col="label")
     y = p.select(F.col("vec_id").alias("i"), F.col("y").alias("yi")), p.select(F.col("vec_id").alias("j"), F.col("y").alias("yj"))
     near = near.join(y[0], "i").join(y[1], "j")
     return near.agg(F.count("*").alias("pairs"), F.round(0.5 * F.avg(F.pow(F.col("yi") - F.col("yj"), 2)), 6).alias("nugget"))

@@ -47,7 +47,10 @@ def test_nearest_over_many_tiles_and_range_join(spark):
         assert got == sorted(want)
     got = {(r.i, r.j) for r in pairs.range_join(df, 1.5).collect()}
     assert got == {(i, j) for i, _, a in rows for j, _, b in rows if i < j and dist(a, b) < 1.5}
-    assert pairs.nearest(df.limit(0), 3).count() == 0
+    for cat in ("label", None):
+        got = sorted((r.i, r.j) for r in pairs.tiled_range_join(df, 1.5, cat_col=cat, tile=11).collect())
+        assert got == sorted((i, j) for i, c, a in rows for j, e, b in rows if i < j and dist(a, b) < 1.5 and (cat is None or c == e))
+    assert pairs.nearest(df.limit(0), 3).count() == 0 and pairs.tiled_range_join(df.limit(0), 3.0).count() == 0
 
 
 def test_places_need_no_single_task(spark):

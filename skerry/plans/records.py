@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions import paths
 from skerry.functions import structures as s
-from skerry.operators import graphs
+from skerry.operators import graphs, spectra
 from skerry.plans.census import rounded
 from skerry.session import table
 
@@ -193,6 +193,12 @@ def graph_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.topology(atoms(spark, sf_dir), bonded(spark, sf_dir))
 
 
+@both("")
+def coulomb_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s_ = spectra.spectra(structures(spark, sf_dir), 8)
+    return s_.select("gidx", F.posexplode("spectrum").alias("place", "value")).withColumn("value", F.round("value", 6))
+
+
 @both("""WITH u AS (SELECT page_id, list_filter(string_split(regexp_extract(url, '://([^?#]*)', 1), '/'), lambda x: x <> '') AS p FROM pages), d AS (SELECT page_id, CASE WHEN contains(p[-1], '.') THEN p[:-2] ELSE p END AS d FROM u)
   SELECT page_id, coalesce(d[1], '') AS top, coalesce(d[2], '') AS "group", coalesce(d[-1], '') AS job, regexp_replace(coalesce(d[-1], ''), '_\\d+$', '') AS family, -1 AS step FROM d""")
 def source_parse(spark: SparkSession, sf_dir: str) -> DataFrame:

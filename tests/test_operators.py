@@ -79,8 +79,8 @@ def test_graph_walks_match_known_molecules(spark):
 
 def test_path_rules(spark):
     cases = {
-        "omol/set/mol_12_0_1/step7/orca.out": ("omol", "set", "mol_12_0_1", "mol_12", 7),
-        "omol/set/job_3/": ("omol", "set", "job_3", "job", -1),
+        "data/set/mol_12_0_1/step7/orca.out": ("data", "set", "mol_12_0_1", "mol_12", 7),
+        "data/set/job_3/": ("data", "set", "job_3", "job", -1),
         "": ("", "", "", "", -1),
         None: ("", "", "", "", -1),
         "single": ("single", "", "single", "single", -1),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skerry.session import durable
+
 
 def order_key(id_col: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
@@ -41,9 +43,12 @@ def cluster(rows: DataFrame, id_col: str, group_col: str, size: int, cap: int, l
 
 
 def global_places(rows: DataFrame, order: list, name: str = "place") -> DataFrame:
-    """Places 1, 2, ... in this order without a single-task window: ranges, counts of the ranges, places within."""
+    """Places 1, 2, ... in this order without a single-task window: ranges, counts of the ranges, places within.
+
+    The ranged rows are written once, since two readings of a shuffle may be cut into partitions in two ways.
+    """
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("__part", F.shiftright("__at", 33))
+    ranged = durable(ranged.withColumn("__part", F.shiftright("__at", 33)))
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("__part", "__first", before.alias("__before"))

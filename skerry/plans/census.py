@@ -45,7 +45,7 @@ def anova(keys: str, over: str = "") -> str:
               power(sum(m)::DOUBLE, 2) / sum(m * m) AS effective_groups, sum(CASE WHEN m >= 2 THEN m ELSE 0 END) / sum(m)::DOUBLE AS multi_share FROM g {tail})
       SELECT {o}n::BIGINT AS n, groups, round(ss_between, 4) AS ss_between, round(ss_within, 4) AS ss_within, round(effective_groups, 4) AS effective_groups, round(multi_share, 4) AS multi_share,
         round(ss_within / nullif(n - groups, 0), 4) AS within_var, round(ss_between / nullif(ss_between + ss_within, 0), 4) AS ceiling,
-        round(1 - ss_within / nullif(n - groups, 0) / nullif((ss_between + ss_within) / nullif(n - 1, 0), 0), 4) AS ceiling_unbiased FROM s"""
+        round(1 - ss_within / nullif(n - groups, 0) / nullif((ss_between + ss_within) / nullif(n - 1, 0), 0), 4) + 0 AS ceiling_unbiased FROM s"""
 
 
 @both(anova("p_brand"))

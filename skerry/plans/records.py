@@ -60,8 +60,8 @@ def formula_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @both(f"""WITH {A}, m AS (SELECT gidx, avg(px) AS mx, avg(py) AS my, avg(pz) AS mz, count(*) AS n FROM a GROUP BY gidx) SELECT gidx, round(sqrt(var_pop(px) + var_pop(py) + var_pop(pz)), 6) AS rg,
-  round(sqrt(power(sum(q * (px - mx)), 2) + power(sum(q * (py - my)), 2) + power(sum(q * (pz - mz)), 2)), 6) AS dipole, round(min(q), 6) AS q_min, round(max(q), 6) AS q_max, round(sqrt(avg(q * q)), 6) AS q_rms,
-  round(coalesce(avg(q) FILTER (z = 6), 0), 6) AS c_mean, round(coalesce(stddev_pop(q) FILTER (z = 6), 0), 6) AS c_std, bool_and(z IN (1, 6)) AS hydrocarbon FROM a JOIN m USING (gidx) GROUP BY gidx""")
+  round(sqrt(power(sum(q * (px - mx)), 2) + power(sum(q * (py - my)), 2) + power(sum(q * (pz - mz)), 2)), 6) AS dipole, round(min(q), 6) + 0 AS q_min, round(max(q), 6) + 0 AS q_max, round(sqrt(avg(q * q)), 6) AS q_rms,
+  round(coalesce(avg(q) FILTER (z = 6), 0), 6) + 0 AS c_mean, round(coalesce(stddev_pop(q) FILTER (z = 6), 0), 6) AS c_std, bool_and(z IN (1, 6)) AS hydrocarbon FROM a JOIN m USING (gidx) GROUP BY gidx""")
 def structure_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = F.col("atoms")
     mean, std = s.element_charges(a, 6)
@@ -70,7 +70,7 @@ def structure_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @both(f"""WITH {A}, d AS (SELECT m.gidx, m.q * n.q AS qq, greatest(sqrt(power(m.px - n.px, 2) + power(m.py - n.py, 2) + power(m.pz - n.pz, 2)), 1e-6::DOUBLE) AS r FROM a m JOIN a n ON m.gidx = n.gidx AND m.i < n.i), c AS (SELECT gidx, count(*) AS n FROM a GROUP BY gidx)
-  SELECT gidx, round(coalesce(sum(qq / r), 0) / any_value(n), 6) AS coulomb, round(coalesce(sum(qq / r) FILTER (r < 1.5), 0) / any_value(n), 6) AS short_range FROM c LEFT JOIN d USING (gidx) GROUP BY gidx""")
+  SELECT gidx, round(coalesce(sum(qq / r), 0) / any_value(n), 6) + 0 AS coulomb, round(coalesce(sum(qq / r) FILTER (r < 1.5), 0) / any_value(n), 6) + 0 AS short_range FROM c LEFT JOIN d USING (gidx) GROUP BY gidx""")
 def coulomb_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     every, near = s.coulomb(F.col("atoms"), 1.5)
     return rounded(structures(spark, sf_dir).select("gidx", every.alias("coulomb"), near.alias("short_range")))

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skerry.llm.arrow_text import sliced
+from skerry.operators.graphs import components
 from skerry.session import durable
 
 BITS = 64
@@ -126,24 +127,6 @@ def links(prints: DataFrame, radius: int = 3) -> DataFrame:
     return tiles.mapInArrow(compared, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable, for each node of the edges (a, b); alternating large and small stars."""
-    smaller, larger = F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")
-    now = durable(edges.where("a <> b").select(larger, smaller).distinct())  # u > v
-    state = None
-    while True:
-        both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u")
-        now = durable(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(lowest.select("u", F.col("m").alias("v"))).distinct())
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == state:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        state = seen
-
-
 def classes(prints: DataFrame, radius: int = 3, id_col: str = "doc_id") -> DataFrame:
     """(fp, component_id) for each distinct fingerprint of (id, fp)."""
     lowest = prints.groupBy("fp").agg(F.min(id_col).alias("least_id"))

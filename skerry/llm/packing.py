@@ -144,8 +144,12 @@ def packed(docs: DataFrame, tokenizer: str, end_id: int, most: int = 2048, id_co
 
 
 def sequences(rows: DataFrame, most: int, pad_id: int) -> DataFrame:
-    """sequence_id and its ids, padded to `most`, from packed rows with ids; a sequence holds `most` ids at most."""
+    """sequence_id and its ids, from packed rows with ids; a sequence holds `most` ids at most.
+
+    Sequences are padded to `most`, except those whose length is a power of two, which stay as they are.
+    """
     parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
     ids = F.flatten(F.transform(parts, lambda p: p["ids"]))
     grouped = rows.groupBy("sequence_id").agg(ids.alias("ids"))
-    return grouped.withColumn("ids", F.concat("ids", F.array_repeat(F.lit(pad_id), F.lit(most) - F.size("ids"))))
+    n = F.size("ids")
+    return grouped.withColumn("ids", F.when(F.bit_count(n) == 1, F.col("ids")).otherwise(F.concat("ids", F.array_repeat(F.lit(pad_id), F.lit(most) - n))))

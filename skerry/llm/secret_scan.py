@@ -15,8 +15,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -117,7 +119,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and these with the entropy spans that no base span holds."""
     base = base_spans(text)
-    more = [(a, 3, b) for a, b in entropy_spans(text) if not any(s <= a and b <= e for s, _, e in base)]
+    starts, reach = [a for a, _, _ in base], [0, *accumulate((b for _, _, b in base), max)]
+    # A base span holds (a, b) if one that starts no later than a reaches b.
+    more = [(a, 3, b) for a, b in entropy_spans(text) if reach[bisect_right(starts, a)] < b]
     return base, sorted(base + more)
 
 

@@ -79,9 +79,15 @@ def test_rows_pack_whole_documents(spark):
     check(got, docs, 64)
     rows = packing.packed(spark.createDataFrame(docs, SCHEMA), PATH, 1, 64, with_ids=True)
     whole = packing.sequences(rows, 64, 0).collect()
-    assert len(whole) == len({r.sequence_id for r in got}) and all(len(r.ids) == 64 for r in whole)
+    assert len(whole) == len({r.sequence_id for r in got}) and all(len(r.ids) == 64 or len(r.ids).bit_count() == 1 for r in whole)
     assert sum(x != 0 for r in whole for x in r.ids) == sum(r.length for r in got)
 
 
+def test_sequences_are_padded_but_at_a_power_of_two(spark):
+    rows = [(0, 0, [5, 6, 7]), (1, 0, [5, 6]), (1, 2, [8, 9]), (2, 0, [4])]
+    got = packing.sequences(spark.createDataFrame(rows, "sequence_id long, offset long, ids array<int>"), 8, 0).collect()
+    assert {r.sequence_id: r.ids for r in got} == {0: [5, 6, 7, 0, 0, 0, 0, 0], 1: [5, 6, 8, 9], 2: [4]}
+
+
 def test_empty_table(spark):
     assert packing.packed(spark.createDataFrame([], SCHEMA), PATH, 1).count() == 0

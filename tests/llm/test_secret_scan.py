@@ -70,3 +70,11 @@ def test_rows(spark):
     assert clean[3].text == '[secret]"' and s.redacted(docs).columns == docs.columns
     empty = spark.createDataFrame([], SCHEMA)
     assert s.scanned(empty).count() == 0 and s.redacted(empty).count() == 0
+
+
+def test_entropy_spans_inside_a_base_span_are_dropped_wherever_it_lies():
+    text = "secret=" + "aB3dE5gH7jK9mN1pQ2sT4v" + " x " * 50 + "token: 9f8e7d6c5b4a39281706f5e4d3c2b1a0 " + "Zx8Kq2Lw9Rt4Yp6Mn1Bv3C"
+    base, spans = s.all_spans(text)
+    more = [x for x in spans if x[1] == 3]
+    assert more == [(a, 3, b) for a, b in s.entropy_spans(text) if not any(p <= a and b <= e for p, _, e in base)]
+    assert len(more) == 1

@@ -100,7 +100,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, most: int, id_col: str
     """id, start, length, ids_crc32 and doc_tokens of each piece, and its ids if asked for."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoder(tokenizer, "words")
+        encoder = tokens.encoder(tokenizer, "words", added=True)
         for batch in sliced(batches, 1):
             rows, whose = [], []
             for k, ids in enumerate(encoder.encode(batch.column(1))):

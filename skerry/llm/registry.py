@@ -26,7 +26,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.encoded(table(spark, sf_dir, "documents"), shared_folder(spark), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.encoded(table(spark, sf_dir, "documents"), shared_folder(spark), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, added=True)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,14 +61,14 @@ def unframe(content: bytes | memoryview, at: int) -> tuple[int | None, np.ndarra
     return None if null else doc_id, np.frombuffer(payload[_META.size :], f"<u{width}"), at + length + 17
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES, file_records: int = FILE_RECORDS) -> None:
-    """Encodes every text and writes the records under path, files and records in ascending id order."""
+def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES, file_records: int = FILE_RECORDS, added: bool = False) -> None:
+    """Encodes every text (with `added`, strings of added tokens as these) and writes the records under path, files and records in ascending id order."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-total // part_bytes))
 
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoder(tokenizer, "bytes")
+        encoder = tokens.encoder(tokenizer, "bytes", added)
         end = np.array([end_id], encoder.dtype)
         for batch in sliced(batches, 1, 2 << 20):
             frames = [frame(i, np.concatenate([ids, end])) for i, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)))]
@@ -127,11 +127,11 @@ def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
     return files.join(places, "file").select("content", "places").mapInArrow(cut, "id long, order long, ids array<long>")
 
 
-def encoded(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES, file_records: int = FILE_RECORDS) -> DataFrame:
+def encoded(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES, file_records: int = FILE_RECORDS, added: bool = False) -> DataFrame:
     """Writes records and index in a new folder under `folder` and returns what reading them back gives: id, start, n_tokens, ids_crc32."""
     spark = docs.sparkSession
     base = f"{folder}/tokens-{uuid.uuid4().hex}"
-    write_records(docs, f"{base}/records", tokenizer, end_id, id_col, text_col, part_bytes, file_records)
+    write_records(docs, f"{base}/records", tokenizer, end_id, id_col, text_col, part_bytes, file_records, added)
     write_index(spark, f"{base}/records", f"{base}/index")
     read = records(spark, f"{base}/records").join(file_starts(spark.read.parquet(f"{base}/index")), "file")
     return read.select(F.col("id").alias(id_col), (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

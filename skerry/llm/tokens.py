@@ -2,7 +2,8 @@
 
 A chunk ends only where every pre-tokenizer match must end, so that the ids of a text are those of its chunks,
 end to end. Chunks repeat far more than texts do: each distinct one is encoded once and its ids are kept in a
-cache of bounded size. Texts with blanks outside ASCII are encoded whole.
+cache of bounded size. Texts with blanks outside ASCII are encoded whole, and so are texts that hold the string of
+an added token, if such a string stands for its token.
 """
 
 from __future__ import annotations
@@ -35,17 +36,20 @@ def _odd_blanks(data: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes texts with a tokenizer file; `scheme` says how its pre-tokenizer treats blanks.
 
-    bytes: a blank run belongs to what follows it; words: blanks are dropped and case is folded.
+    bytes: a blank run belongs to what follows it; words: blanks are dropped and case is folded. With `added`, the
+    string of an added token in a text gives that token, as the library has it by default; else it is ordinary text.
     """
 
-    def __init__(self, path: str, scheme: str):
+    def __init__(self, path: str, scheme: str, added: bool = False):
         from tokenizers import Tokenizer
 
         if scheme not in SCHEMES:
             raise ValueError(f"scheme must be one of {SCHEMES}")
         self.scheme = scheme
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added
+        # A normalised token is matched in the folded text: whatever may fold to it counts.
+        self.added = [(t.content, t.normalized) for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self._forget()
 
@@ -85,6 +89,13 @@ class Encoder:
             mark[1:] = ((after == BLANK) != (before == BLANK)) | word_end
         return starts_of(mark, offsets)
 
+    def _with_added(self, texts: pa.Array) -> np.ndarray:
+        """Places of the texts that hold the string of an added token."""
+        held = np.zeros(len(texts), bool)
+        for content, folded in self.added:
+            held |= pc.fill_null(pc.match_substring(texts, content, ignore_case=folded), False).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(held)
+
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text (null: none)."""
         data, offsets = as_bytes(texts)
@@ -107,7 +118,7 @@ class Encoder:
         ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[which] - (ends - counts), counts)]
         cuts = np.append(0, ends)[per_text(starts, offsets)]
         out = [ids[a:b] for a, b in zip(cuts, cuts[1:])]
-        odd = np.unique(np.searchsorted(offsets, _odd_blanks(data), side="right") - 1)
+        odd = np.union1d(np.searchsorted(offsets, _odd_blanks(data), side="right") - 1, self._with_added(texts))
         if len(odd):
             lengths, flat = self._ids([texts[int(i)].as_py() for i in odd])
             for i, ids in zip(odd, np.split(flat, np.cumsum(lengths)[:-1])):
@@ -116,6 +127,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, scheme: str) -> Encoder:
+def encoder(path: str, scheme: str, added: bool = False) -> Encoder:
     """One per Python worker, so that the cache outlives a batch and a task."""
-    return Encoder(path, scheme)
+    return Encoder(path, scheme, added)

@@ -91,3 +91,8 @@ def test_sequences_are_padded_but_at_a_power_of_two(spark):
 
 def test_empty_table(spark):
     assert packing.packed(spark.createDataFrame([], SCHEMA), PATH, 1).count() == 0
+
+
+def test_strings_of_added_tokens_are_packed_as_tokens(spark):
+    docs = [(0, "one <|endoftext|> two", "c", 1, 0.5), (1, "<|startoftext|>a b", "c", 1, 0.5), (2, "plain", "c", 1, 0.5)]
+    check(packing.packed(spark.createDataFrame(docs, SCHEMA), PATH, 1, 64).collect(), docs, 64)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from skerry.llm import token_files as f
+from skerry.llm.registry import op4_token_files
 from skerry.session import shared_folder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -54,3 +55,14 @@ def test_damage_is_found_and_wide_ids_fit():
 
 def test_empty_table(spark):
     assert f.encoded(spark.createDataFrame([], SCHEMA), shared_folder(spark), PATH, 2).count() == 0
+
+
+def test_registered_query_takes_strings_of_added_tokens_as_tokens(spark, tmp_path):
+    texts = ["one <|endoftext|> two", "plain", "<|endoftext|><|endoftext|>"]
+    spark.createDataFrame([(i, t, "", 0) for i, t in enumerate(texts)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    t, start = Tokenizer.from_file(PATH), 0
+    got = {r.doc_id: tuple(r)[1:] for r in op4_token_files(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        assert got[i] == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)

@@ -31,3 +31,16 @@ def test_empty_and_sliced_arrays():
     assert [x.tolist() for x in e.encode(pa.array([None, ""], pa.string()))] == [[], []]
     a, b = pa.array(["a b", "c d", "e"]), pa.array(["c d", "e"])
     assert all(np.array_equal(x, y) for x, y in zip(e.encode(a.slice(1)), e.encode(b)))
+
+
+@pytest.mark.parametrize(("file", "scheme"), [("byte_bpe_50k.json", "bytes"), ("word_bpe_49k.json", "words")])
+def test_strings_of_added_tokens_give_their_ids(file, scheme):
+    path = public_tokenizers.path(file)
+    plain = Tokenizer.from_file(path)
+    rng = random.Random(4)
+    bits = BITS + ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext", "|>"]
+    texts = ["one <|endoftext|> two", None, "", *("".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(3000))]
+    got = tokens.encoder(path, scheme, added=True).encode(pa.array(texts, pa.string()))
+    assert len(got[0]) == {"bytes": 4, "words": 3}[scheme]
+    for text, ids in zip(texts, got):
+        assert ids.tolist() == plain.encode(text or "", add_special_tokens=False).ids, repr(text)

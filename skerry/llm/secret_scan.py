@@ -3,7 +3,9 @@
 Candidates are runs of 20 or more characters of keys and digests. For each character class a window slides over
 the run's stretches of that class; counts are updated by one character in and one out, and the window's entropy
 follows from the running sum of c*log2(c). Windows above the class's threshold that hold the characters the class
-asks for are merged into one span. An allow-list suppresses identifiers and placeholders.
+asks for are merged into one span. An allow-list suppresses identifiers and placeholders: some by the form of the
+whole run; words and UUIDs that stand between joiners are cut out, so that what is joined to them is still scanned;
+a span that meets a placeholder without a joiner is dropped. Runs of plain words and numbers are no URL-safe keys.
 
 Defined results: a null text counts as empty and has no spans; spans are code points, end exclusive; repeated rows
 get equal results; null ids stay null; other columns are not read by `scanned` and pass through `redacted`.
@@ -52,6 +54,7 @@ CLASSES = (
     CharClass("lower", _NUM + _LOW, 3.6, ((_NUM, 3), (_LOW, 3))),
     CharClass("upper", _NUM + _UP, 3.6, ((_NUM, 2), (_UP, 3))),
     CharClass("base64", _NUM + _LOW + _UP + "+/", 3.8, ((_NUM, 1), (_LOW, 2), (_UP, 2))),
+    CharClass("base64url", _NUM + _LOW + _UP + "-_", 3.8, ((_NUM, 1), (_LOW, 2), (_UP, 2))),
 )
 _STRETCH = {c.name: re.compile(f"[{re.escape(c.chars)}]{{{WIDTH},}}") for c in CLASSES}
 
@@ -59,12 +62,36 @@ _STRETCH = {c.name: re.compile(f"[{re.escape(c.chars)}]{{{WIDTH},}}") for c in C
 ALLOWED = tuple(
     re.compile(x)
     for x in (
-        r"[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}",
         r"[0-9/_+-]*",
-        r"(?i).*(?:example|placeholder|changeme|your[_-]?key|xxxx|abcdefghij|0123456789|1234567890).*",
         r"[A-Za-z]+(?:[/_-][A-Za-z]+)+[/_-]?[0-9]{0,4}",
     )
 )
+# Harmless strings within a candidate.
+_WORD = re.compile(r"(?i)example|placeholder|changeme|your[_-]?key|xxxx|abcdefghij|0123456789|1234567890")
+_UUID = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}(?![0-9A-Za-z])")
+_JOINER = re.compile(r"[/_+=-]+")
+_PLAIN = re.compile(r"(?:[A-Z]?[a-z]{2,}+)++[0-9]*|[A-Z]+[0-9]*|[A-Za-z]?[0-9]*")
+
+
+def plain(run: str) -> bool:
+    """Whether all parts between joiners are words, in usual case, or numbers."""
+    return all(_PLAIN.fullmatch(part) for part in _JOINER.split(run))
+
+
+def harmless(run: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Stretches of words and UUIDs between joiners, by start, and placeholders that stand within other characters."""
+    apart, within = [m.span() for m in _UUID.finditer(run)], []
+    for m in _WORD.finditer(run):
+        a, b = m.span()
+        while a and run[a - 1].isalnum():
+            a -= 1
+        while b < len(run) and run[b].isalnum():
+            b += 1
+        if plain(run[a:b]):
+            apart.append((a, b))
+        else:
+            within.append(m.span())
+    return sorted(apart), within
 
 
 def windows_above(text: str, cls: CharClass, width: int = WIDTH) -> Iterator[tuple[int, int]]:
@@ -98,13 +125,19 @@ def entropy_spans(text: str, allowed: tuple[re.Pattern, ...] = ALLOWED) -> list[
         run = m.group()
         if not _DIGIT.search(run) or any(p.fullmatch(run) for p in allowed):
             continue
-        here = sorted((s.start() + a, s.start() + b) for c in CLASSES for s in _STRETCH[c.name].finditer(run) for a, b in windows_above(s.group(), c))
-        for a, b in here:
-            a, b = a + m.start(), b + m.start()
-            if found and a <= found[-1][1]:
-                found[-1] = (found[-1][0], max(b, found[-1][1]))
+        apart, within = harmless(run)
+        here, merged, at = [], [], 0
+        for start, end in [*apart, (len(run), len(run))]:
+            part = run[at:start]
+            classes = [c for c in CLASSES if c.name != "base64url" or not plain(part)] if len(part) >= WIDTH else []
+            here += [(at + s.start() + a, at + s.start() + b) for c in classes for s in _STRETCH[c.name].finditer(part) for a, b in windows_above(s.group(), c)]
+            at = max(at, end)
+        for a, b in sorted(here):
+            if merged and a <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
             else:
-                found.append((a, b))
+                merged.append((a, b))
+        found += [(m.start() + a, m.start() + b) for a, b in merged if not any(x < b and a < y for x, y in within)]
     return found
 
 

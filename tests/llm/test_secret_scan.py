@@ -78,3 +78,28 @@ def test_entropy_spans_inside_a_base_span_are_dropped_wherever_it_lies():
     more = [x for x in spans if x[1] == 3]
     assert more == [(a, 3, b) for a, b in s.entropy_spans(text) if not any(p <= a and b <= e for p, _, e in base)]
     assert len(more) == 1
+
+
+def test_url_safe_keys_are_found_and_slugs_are_not():
+    rng = random.Random(8)
+    chars = s._NUM + s._LOW + s._UP + "-_"
+    for n, least in ((24, 0.93), (32, 0.98), (43, 0.99)):
+        keys = ["x" + "".join(rng.choice(chars) for _ in range(n - 2)) + "x" for _ in range(500)]
+        assert sum(bool(s.entropy_spans(f"a {k} b")) for k in keys) / len(keys) > least
+    assert s.entropy_spans("k9Xw-Rt4Yp_6Mn1-Bv3C_Zx8") == [(0, 24)]
+    clean = ["My-Long-Title-Of-A-Page-2024-01-02", "IMG_20240102_Foo_Bar_Baz_v2", "getUserById_Quick-Brown-Fox_2024", "Chapter-12-The-Quick-Brown-Fox-Jumps-34", "request-123E4567-E89B-12D3-A456-426614174000-Log"]
+    clean += ["_".join(rng.choice(["Quick", "brown", "FOX", "Jumped", "over", "Lazy", "dogs"]) + rng.choice(["", "7"]) for _ in range(9)) for _ in range(200)]
+    for text in clean:
+        assert s.entropy_spans(text) == [], text
+
+
+def test_a_placeholder_word_hides_only_its_own_part():
+    for joined, at in ((f"example-{KEY}", 8), (f"{KEY}/1234567890", 0), (f"your_key_{KEY}", 9), (f"Docs/example_{KEY}-xxxx", 13)):
+        assert any(a <= at and at + len(KEY) <= b for a, b in s.entropy_spans(joined)), joined
+    for text in ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "aB3dE5gH7jK9mN1pQ2sT4vEXAMPLE8Zr", "example_your-key_0123456789"):
+        assert s.entropy_spans(text) == [], text
+
+
+def test_redacted_drops_url_safe_keys(spark):
+    docs = spark.createDataFrame([(1, "key k9Xw-Rt4Yp_6Mn1-Bv3C_Zx8 end", "", 32)], SCHEMA)
+    assert [tuple(r) for r in s.redacted(docs).collect()] == [(1, "key [secret] end", "", 16)]

@@ -3,9 +3,12 @@
 Training, on a bounded seeded sample of labelled rows: for each form of a word (the word, and its first 3 to 6 bytes)
 the documents of either label that hold it are counted, near copies once. The log-odds of a form between the labels
 get a Dirichlet prior in proportion to its count in both, and are reduced by a multiple of their standard deviation.
-A word scores the best of its forms less a drift, so that ordinary text falls. Scoring is one linear scan: a text's
-best segment is the largest rise of the running sum. Its significance follows the extreme-value law of such maxima,
-E = K n exp(-lambda S) for n words; a logistic curve, fitted out of fold, turns -log E into a probability.
+A word scores the best of its forms less a drift, so that ordinary text falls. Scoring is one linear scan for all
+maximal scoring segments (Ruzzo and Tompa). The best one's significance follows the extreme-value law of such maxima,
+E = K n exp(-lambda S) for n words; the number of those as good as the r-th best is a Poisson count, so that r of them
+come by chance with E^r / r! at most (Karlin and Altschul), where K bounds the counts seen in background texts. A text
+takes its most significant r, at a factor of 2 for each further one; a logistic curve, fitted out of fold, turns the
+negative logarithm into a probability.
 
 `passages` gives every significant passage: all maximal scoring segments (Ruzzo and Tompa) whose E is small enough.
 
@@ -17,7 +20,7 @@ label; without labels of both kinds every score is 0. Only the text enters a sco
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,6 +49,7 @@ class Model:
     k: float = 1.0
     slope: float = 0.0
     shift: float = -50.0
+    crowd: float = 1.0  # K of the number of segments
 
     def __post_init__(self):
         order = np.argsort(self.keys)
@@ -66,9 +70,9 @@ class Model:
                 best[at[hit]] = np.maximum(best[at[hit]], self.values[place[hit]])
         return best - DRIFT, np.append(0, np.cumsum(letters))[words.offsets]
 
-    def probability(self, best: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Of texts with these best segments and sizes in words."""
-        x = self.lam * best - np.log(self.k * np.maximum(n, 1))
+    def probability(self, sums: list[np.ndarray], n: np.ndarray) -> np.ndarray:
+        """Of texts with these segment sums, largest first, and sizes in words."""
+        x = evidence(sums, n, self.lam, self.k, self.crowd)
         return 1 / (1 + np.exp(-np.clip(self.slope * x + self.shift, -50, 50)))
 
 
@@ -85,22 +89,67 @@ def best_segments(scores: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, sum), in linear time."""
-    found: list[list] = []  # start, end, sum before, sum after
-    total = 0.0
+    steps, total = [], 0.0
     for i, s in enumerate(scores):
-        if s <= 0:
-            total += s
-            continue
-        new = [i, i + 1, total, total + s]
+        if s > 0:
+            steps.append((i, total, total + s))
         total += s
+    return _maximal(steps)
+
+
+def _maximal(steps: Iterable[tuple[int, float, float]]) -> list[tuple[int, int, float]]:
+    """The maximal segments, from (place, sum before, sum after) of the positive scores."""
+    found: list[tuple] = []  # start, end, sum before, sum after, last place with a smaller sum before
+    for i, before, after in steps:
+        start, j = i, len(found) - 1
         while True:
-            j = next((j for j in range(len(found) - 1, -1, -1) if found[j][2] < new[2]), None)
-            if j is None or found[j][3] >= new[3]:
-                found.append(new)
+            while j >= 0 and found[j][2] >= before:
+                j = found[j][4]
+            if j < 0 or found[j][3] >= after:
+                found.append((start, i + 1, before, after, j))
                 break
-            new = [found[j][0], new[1], found[j][2], new[3]]
+            start, before = found[j][0], found[j][2]
             del found[j:]
-    return [(a, b, after - before) for a, b, before, after in found]
+            j = len(found) - 1
+    return [(a, b, after - before) for a, b, before, after, _ in found]
+
+
+def segment_sums(scores: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Sums of all maximal segments of each text, largest first."""
+    out = []
+    for a, b in zip(offsets, offsets[1:]):
+        part = scores[a:b]
+        at = np.flatnonzero(part > 0)
+        if len(at):
+            sums = np.append(0.0, np.cumsum(part))
+            found = _maximal(zip(at.tolist(), sums[at].tolist(), sums[at + 1].tolist()))
+            out.append(np.sort(np.array([v for *_, v in found]))[::-1])
+        else:
+            out.append(np.zeros(0))
+    return out
+
+
+def evidence(sums: list[np.ndarray], n: np.ndarray, lam: float, k: float, crowd: float) -> np.ndarray:
+    """-log of the chance of each text's segments: of the best one, or of the r best, whichever is less."""
+    out = -np.log(k * np.maximum(n, 1))
+    for i, s in enumerate(sums):
+        if len(s):
+            out[i] += lam * s[0]
+        if len(s) > 1:
+            r = np.arange(2, len(s) + 1)
+            x = lam * s[1:] - math.log(max(k, crowd) * max(n[i], 1))
+            out[i] = max(out[i], (r * x + np.cumsum(np.log(r)) - (r - 1) * math.log(2)).max())
+    return out
+
+
+def _crowd(sums: list[np.ndarray], n: np.ndarray, lam: float) -> float:
+    """The least K for which K n exp(-lambda s) bounds the number of segments above s in all these texts together."""
+    s = np.sort(np.concatenate([*sums, np.zeros(0)]))[::-1]
+    if not len(s):
+        return 0.0
+    count = np.arange(1, len(s) + 1)
+    rare = count >= min(len(s), max(10, len(s) // 100))  # the few largest say little about their number
+    return float(np.exp((np.log(count) + np.minimum(lam * s, 700))[rare].max()) / max(n.sum(), 1))
 
 
 def _chunks(texts: pa.Array) -> Iterator[tuple[int, Words]]:
@@ -196,7 +245,7 @@ def train(texts: pa.Array, labels: np.ndarray) -> Model:
     for label in (False, True):
         at = np.flatnonzero(toxic == label)
         fold[at] = np.arange(len(at)) % 2
-    best, n, background = np.zeros(len(toxic)), np.zeros(len(toxic)), []
+    sums, n, background = [np.zeros(0)] * len(toxic), np.zeros(len(toxic)), []
     for k in (0, 1):  # scores out of fold
         there = fold[text] != k
         part = Model(*log_odds(text[there], forms[there], toxic))
@@ -204,15 +253,20 @@ def train(texts: pa.Array, labels: np.ndarray) -> Model:
             scores, offsets = part.token_scores(words)
             held = slice(start, start + len(offsets) - 1)
             own = fold[held] == k
-            best[held][own], n[held][own] = best_segments(scores, offsets)[own], np.diff(offsets)[own]
+            n[held][own] = np.diff(offsets)[own]
+            for i, found in enumerate(segment_sums(scores, offsets)):
+                if own[i]:
+                    sums[start + i] = found
             background.append(scores[np.repeat(own & ~toxic[held], np.diff(offsets))])
     lam = _background(np.concatenate(background))
     # Under the law the mean of n exp(-lambda S) over background texts is 1/K.
     clean = ~toxic
+    best = np.array([s[0] if len(s) else 0.0 for s in sums])
+    crowd = _crowd([s for s, c in zip(sums, clean) if c], n[clean], lam)
     k_hat = 1 / max(np.mean(np.maximum(n[clean], 1) * np.exp(-np.minimum(lam * best[clean], 700))), 1e-300)
-    slope, shift = _logistic(lam * best - np.log(k_hat * np.maximum(n, 1)), toxic.astype(float))
+    slope, shift = _logistic(evidence(sums, n, lam, k_hat, crowd), toxic.astype(float))
     final = Model(*log_odds(text, forms, toxic))
-    return Model(final.keys, final.values, lam, float(k_hat), slope, shift)
+    return Model(final.keys, final.values, lam, float(k_hat), slope, shift, crowd)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -222,13 +276,13 @@ def fitted(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc
     def once(table: pa.Table) -> pa.Table:
         table = table.sort_by([("label", "ascending"), ("text", "ascending")])  # the same order however rows arrive
         m = train(table.column("text").combine_chunks(), table.column("label").to_numpy())
-        head = [m.lam, m.k, m.slope, m.shift]
+        head = [m.lam, m.k, m.slope, m.shift, m.crowd]
         return pa.table({"keys": pa.array([m.keys.tobytes()], pa.binary()), "numbers": pa.array([[*head, *m.values.tolist()]], pa.list_(pa.float64()))})
 
     found = chosen.groupBy(F.lit(0).alias("all")).applyInArrow(once, "keys binary, numbers array<double>").collect()
     if not found:
         return Model(np.zeros(0, np.uint64), np.zeros(0))
-    return Model(np.frombuffer(bytes(found[0]["keys"]), np.uint64), np.array(found[0]["numbers"][4:]), *found[0]["numbers"][:4])
+    return Model(np.frombuffer(bytes(found[0]["keys"]), np.uint64), np.array(found[0]["numbers"][5:]), *found[0]["numbers"][:5])
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,7 +292,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
             scores, offsets = sent.value.token_scores(Words(batch.column(1)))
-            p = sent.value.probability(best_segments(scores, offsets), np.diff(offsets))
+            p = sent.value.probability(segment_sums(scores, offsets), np.diff(offsets))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[id_col, "score", "predicted"])
 
     schema = T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])

@@ -99,3 +99,25 @@ def test_sample_is_bounded(spark):
     d, lab = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, LABELS)
     got = labelled_sample(d, lab, F.lit(True), "doc_id", "text", "toxic", 17)
     assert got.count() == 17 and got.columns == ["text", "label"]
+
+
+def test_many_weak_passages_outscore_one(spark):
+    rng = random.Random(9)
+    keys = Words(pa.array(["zlotch"])).hashes()
+    model = t.Model(keys, np.array([2.0]), lam=1.2, k=0.02, slope=1.0, shift=-4.0, crowd=0.02)
+    calm = ["".join(rng.choice("abdeo") for _ in range(5)) for _ in range(600)]
+    one, many = calm[:], calm[:]
+    one[30] = "zlotch"
+    for k in range(30, 600, 30):
+        many[k] = "zlotch"
+    d = spark.createDataFrame([(i, " ".join(w), "xx", 0, 1) for i, w in enumerate((calm, one, many))], SCHEMA)
+    p = {r.doc_id: r.score for r in t.scored(d, model).collect()}
+    assert p[0] < p[1] < p[2] and p[2] > 0.9 > 0.1 > p[1]
+
+
+def test_segment_sums_are_those_of_the_maximal_segments():
+    rng = random.Random(10)
+    for _ in range(300):
+        s = [rng.choice([-2.0, -1.0, -0.5, 1.0, 1.5, 3.0]) for _ in range(rng.randint(0, 40))]
+        none, got = t.segment_sums(np.array(s), np.array([0, 0, len(s)]))
+        assert not len(none) and got.tolist() == sorted((v for *_, v in t.maximal_segments(s)), reverse=True)

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skerry.operators.hot_keys import hot_join
 from skerry.session import durable
 
 
@@ -179,18 +180,21 @@ def in_order(labels: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node reachable, for each node of the edges (a, b); alternating large and small stars."""
+    """(node, root): the smallest node reachable, for each node of the edges (a, b); alternating large and small stars.
+
+    The edges of a giant star's centre stay where they are: its minimum is broadcast (see hot_keys).
+    """
     smaller, larger = F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")
     now = durable(edges.where("a <> b").select(larger, smaller).distinct())  # u > v
-    state = None
+    state, size = None, now.count()
     while True:
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u")
+        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = hot_join(both.where("v > u"), lowest, ["u"], 2 * size).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = hot_join(large, lowest, ["u"], 2 * size)
         now = durable(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(lowest.select("u", F.col("m").alias("v"))).distinct())
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        state = seen
+        state, size = seen, seen[0]

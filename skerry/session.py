@@ -40,10 +40,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; one of our own only where it is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share.
+
+    Where it is unset, a local session gets one of its own; a cluster raises an error, since a local folder is another
+    one on each machine.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{context.applicationId}")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or f"/tmp/checkpoints/{context.applicationId}")
     return context.getCheckpointDir()
 
 

@@ -95,6 +95,55 @@ def test_blocks_of_a_large_bucket_lose_no_link(spark, monkeypatch):
     assert got == {k: want[i] for i, k in enumerate(prints)}
 
 
+def test_forests_connect_what_links_connect():
+    rng = random.Random(3)
+    a = np.array([rng.getrandbits(7) for _ in range(40)], np.int64)
+    b = np.array([rng.getrandbits(7) for _ in range(30)], np.int64)
+    for radius in (1, 2):
+        for left, right in ((np.unique(a), None), (np.unique(a), np.setdiff1d(b, a))):
+            other = left if right is None else right
+            every = {(int(x), int(y)) for x in left for y in other if x != y and (int(x) ^ int(y)).bit_count() <= radius}
+            forest = n._forest(left, right, radius)
+
+            def parts(edges):
+                root = {}
+                find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+                for x, y in edges:
+                    root[max(find(x), find(y))] = min(find(x), find(y))
+                return {x: find(x) for x in root}, len({find(x) for x in root})
+
+            (got, k), (want, m) = parts(forest), parts(every)
+            assert {x: r for x, r in got.items()} == want and k == m and len(forest) == len(want) - m
+            assert all((x, y) in every or (y, x) in every for x, y in forest)
+
+
+def test_hot_fingerprints_and_classes_lose_no_row(spark, monkeypatch):
+    from skerry.operators import hot_keys
+
+    monkeypatch.setattr(hot_keys.hot_join, "__defaults__", ("n", 5))
+    rng = random.Random(12)
+    base = [rng.choice("abcdefgh") * 3 + str(i) for i in range(120)]
+    texts = [" ".join(base)] * 40 + [" ".join([*base[:i], "other", *base[i + 1 :]]) for i in range(0, 120, 3)] + [f"text {i} alone {i * i}" for i in range(40)]
+    docs = [(i, t, "", 0) for i, t in enumerate(texts)]
+    want = brute_classes({i: brute_print(t) for i, t in enumerate(texts)})
+    got = {r.doc_id: r.component_id for r in n.linked(spark.createDataFrame(docs, SCHEMA)).collect()}
+    assert got == want
+
+
+def test_columns_of_any_name_and_type_pass_through(spark):
+    names = ["__id", "__mark", "__row", "row", "key", "text", "n", "best", "absent", "hash", "fp", "doc_id", "a.b", "m"]
+    schema = ", ".join(f"`{c}` {'map<string,int>' if c == 'm' else 'long' if c == 'doc_id' else 'string'}" for c in names)
+    line = lambda i, text, m: tuple(text if c == "text" else i if c == "doc_id" else m if c == "m" else f"{c}{i}" for c in names)
+    rows = [line(i, f"word{i} of text {i * i} here and {i}", {"x": i}) for i in range(12)]
+    rows += [line(20, rows[3][5], {"x": 1}), rows[4], rows[4], line(5, rows[5][5], {"y": 2}), line(None, "a text without an id", None)]
+    got = n.deduplicated(spark.createDataFrame(rows, schema))
+    assert got.columns == names
+    found = sorted(map(str, map(tuple, got.collect())))
+    one = [str(r) for r in rows[:12] if r[11] != 5] + [str(rows[-1])]
+    fives = {str(rows[5]), str(rows[15])}
+    assert len(found) == 13 and sorted(set(found) - fives) == sorted(one) and len(set(found) & fives) == 1
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 100)] + [(5, 5), (7, 6)]
     got = {r.node: r.root for r in n.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -7,8 +7,8 @@ a run of words on the line of its documents in seeded order, copy after copy; a
 middle lies in the run, and belongs to the source whose part of the run that is. All that documents need for this is
 a hash threshold for each pattern and source, so the last pass reads each document alone, without a shuffle.
 
-Only pattern totals come to the driver; more patterns than MOST_PATTERNS raise an error. Thresholds are found in
-hash-range buckets of bounded size, of which only those with a threshold are sorted.
+Only pattern totals and thresholds come to the driver; more patterns than MOST_PATTERNS raise an error. Thresholds
+are found by sums over ever smaller ranges of hashes, the last of which is sorted.
 
 Defined results: a null text has size zero; a null source is a source of its own and sorts last; documents of size
 zero are never taken; rows that are equal in id and text share their hash and so their fate; null ids are hashed as
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from skerry.session import durable
 
 MOST_PATTERNS = 100_000
-SORTED_TOGETHER = 20_000
+SORTED_TOGETHER, LEVEL_BITS = 64, 8
 MOST_COPIES = 3
 
 
@@ -134,17 +134,51 @@ def min_cost_flow(patterns: list[tuple[tuple, int]], quotas: dict, most: int = M
     return [{s: room[e ^ 1] for s, e in given.items()} for given in gives]
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, members: Column, seed: int) -> tuple[Column, Column, Column]:
-    """Pattern key, hash and size of a document."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str, members: Column, seed: int, *more: Column) -> DataFrame:
+    """Pattern key p, hash h and size of each document, and more columns."""
     pattern = F.to_json(F.array_sort(F.array_distinct(F.coalesce(members, F.array()))))
-    return pattern, F.xxhash64(F.lit(seed), id_col, text_col), n_words(F.col(text_col))
-
-
-def _plan(docs: DataFrame, id_col: str, text_col: str, members: Column, seed: int, weights_of: Callable[[list], dict], share: float) -> tuple[DataFrame, DataFrame]:
-    """Per pattern: key and cuts (level, threshold, source) in order. Per source: source, source_size, target."""
-    spark = docs.sparkSession
-    pattern, h, size = _keyed(docs, id_col, text_col, members, seed)
-    narrow = durable(docs.select(pattern.alias("p"), h.alias("h"), size.alias("size")))
+    return docs.select(pattern.alias("p"), F.xxhash64(F.lit(seed), id_col, text_col).alias("h"), n_words(F.col(text_col)).alias("size"), *more)
+
+
+def _thresholds(narrow: DataFrame, wanted: list[tuple[str, int, int]], n: int) -> dict[tuple[str, int], int]:
+    """For each cut (p, k, rest): the first hash of a document of p whose middle lies at or beyond `rest` on p's line.
+
+    The range of hashes that holds a cut is halved LEVEL_BITS times at once, by sums over its parts, until it holds
+    about SORTED_TOGETHER documents. So no task sums or sorts more than 2^LEVEL_BITS parts or those few documents of a
+    cut, however large a pattern is. Equal hashes are equal documents and count together.
+    """
+    spark = narrow.sparkSession
+    names = "p string, k int, rest long, range long, base long"
+    at, bits = [(p, k, rest, 0, 0) for p, k, rest in wanted], 0
+    top = lambda bits: F.shiftright("h", 64 - bits) if bits else F.lit(0).cast("long")
+
+    def inside() -> DataFrame:
+        """Documents in the ranges that hold cuts."""
+        ranges = spark.createDataFrame(sorted({(r[0], r[3]) for r in at}), "p string, range long")
+        return narrow.withColumn("range", top(bits)).join(F.broadcast(ranges), ["p", "range"])  # a row a cut at most
+
+    while at and n >> bits > SORTED_TOGETHER and bits < 60:
+        within, bits = inside(), bits + LEVEL_BITS
+        sums = within.groupBy("p", "range", top(bits).alias("part")).agg(F.sum("size").alias("size"))
+        upto = F.sum("size").over(Window.partitionBy("p", "range").orderBy("part"))
+        met = sums.withColumn("upto", upto).join(F.broadcast(spark.createDataFrame(at, names)), ["p", "range"])
+        upto = F.col("base") + F.col("upto")
+        hit = met.where((upto - F.col("size") <= F.col("rest")) & (F.col("rest") < upto))
+        at = [tuple(r) for r in hit.select("p", "k", "rest", "part", upto - F.col("size")).collect()]
+    if not at:
+        return {}
+    each = inside().groupBy("p", "range", "h").agg(F.sum("size").alias("size"))
+    run = F.sum("size").over(Window.partitionBy("p", "range").orderBy("h"))
+    met = each.withColumn("middle", run - F.col("size") / 2).join(F.broadcast(spark.createDataFrame(at, names)), ["p", "range"])
+    # Without a middle beyond the cut in the range, all of it lies before.
+    beyond = F.col("base") + F.col("middle") >= F.col("rest")
+    first = met.groupBy("p", "k").agg(F.min(F.when(beyond, F.col("h"))).alias("h"), F.max("h").alias("last"))
+    return {(r["p"], r["k"]): r["h"] if r["h"] is not None else r["last"] + 1 for r in first.collect()}
+
+
+def _plan(narrow: DataFrame, weights_of: Callable[[list], dict], share: float) -> tuple[DataFrame, DataFrame]:
+    """From durable keyed rows. Per pattern: key and cuts (level, threshold, source) in order. Per source: source, source_size, target."""
+    spark = narrow.sparkSession
     totals = narrow.groupBy("p").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MOST_PATTERNS + 1).collect()
     if len(totals) > MOST_PATTERNS:
         raise ValueError(f"over {MOST_PATTERNS} membership patterns")
@@ -157,22 +191,8 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, members: Column, seed: in
     target = capped_shares(sizes, weights_of(list(sizes)), share * sum(n for _, n in patterns))
     flows = min_cost_flow(patterns, {s: int(t) for s, t in target.items()})
     ends = [list(accumulate(flow.values())) for flow in flows]
-
-    bits = max(0, (sum(r["n"] for r in totals) // SORTED_TOGETHER).bit_length())
-    bucket = F.shiftright("h", 64 - bits) if bits else F.lit(0).cast("long")
-    sums = narrow.groupBy("p", bucket.alias("bucket")).agg(F.sum("size").alias("size"))
-    upto = F.sum("size").over(Window.partitionBy("p").orderBy("bucket"))
-    sums = sums.select("p", "bucket", (upto - F.col("size")).alias("base"), upto.alias("upto"))
     wanted = [(totals[i]["p"], k, end % size) for i, (_, size) in enumerate(patterns) if size for k, end in enumerate(ends[i]) if end % size]
-    cuts = spark.createDataFrame(wanted, "p string, k int, rest long")
-    hit = cuts.join(sums, "p").where("base <= rest AND rest < upto").select("p", "k", "rest", "bucket", "base")
-    near = narrow.withColumn("bucket", bucket).join(hit, ["p", "bucket"])
-    run = F.sum("size").over(Window.partitionBy("p", "k").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, 0))
-    last = F.max("h").over(Window.partitionBy("p", "k"))
-    middle = near.withColumn("middle", F.col("base") + run - F.col("size") / 2).withColumn("last", last)
-    # The first document whose middle lies beyond the cut; without one in the bucket, all of it lies before.
-    first = middle.groupBy("p", "k").agg(F.min(F.when(F.col("middle") >= F.col("rest"), F.col("h"))).alias("h"), F.max("last").alias("last"))
-    found = {(r["p"], r["k"]): r["h"] if r["h"] is not None else r["last"] + 1 for r in first.collect()}
+    found = _thresholds(narrow, wanted, sum(r["n"] for r in totals))
 
     low = -(1 << 63)
     rows = []
@@ -194,24 +214,19 @@ def _drawn_sources(h: Column, cuts: Column) -> Column:
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", members: Column | None = None, seed: int = 11, weights_of: Callable[[list], dict] = cyclic_weights, share: float = 1.0) -> DataFrame:
     """id, source (of a single-source pattern), size, source_size, target, taken and the source of each copy taken."""
-    source = F.col("source")
-    members = F.array(source) if members is None else members
-    plan, stated = _plan(docs, id_col, text_col, members, seed, weights_of, share)
-    pattern, h, size = _keyed(docs, id_col, text_col, members, seed)
-    rows = docs.select(F.col(id_col), F.get(members, 0).alias("source"), pattern.alias("p"), h.alias("h"), size.alias("size"))
-    rows = rows.join(F.broadcast(plan), "p", "left").withColumn("copies", F.when(F.col("size") > 0, _drawn_sources(F.col("h"), F.col("cuts"))).otherwise(F.array().cast("array<string>")))
+    members = F.array(F.col("source")) if members is None else members
+    narrow = durable(_keyed(docs, id_col, text_col, members, seed, F.get(members, 0).alias("source"), F.col(id_col).alias("id")))
+    plan, stated = _plan(narrow, weights_of, share)
+    rows = narrow.join(F.broadcast(plan), "p", "left").withColumn("copies", F.when(F.col("size") > 0, _drawn_sources(F.col("h"), F.col("cuts"))).otherwise(F.array().cast("array<string>")))
     stated = F.broadcast(stated.withColumnRenamed("source", "named"))  # both tables have MOST_PATTERNS rows and their members at most
     rows = rows.join(stated, F.col("source").eqNullSafe(F.col("named")), "left")
     taken = (F.col("size") * F.size("copies")).cast("long").alias("taken")
-    return rows.select(id_col, "source", "size", "source_size", "target", taken, "copies")
+    return rows.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", taken, "copies")
 
 
 def drawn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", members: Column | None = None, seed: int = 11, weights_of: Callable[[list], dict] = cyclic_weights, share: float = 1.0) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken."""
+    """The mix itself: each row of docs as often as it is taken. A row is one struct meanwhile, so columns of any name pass through."""
     members = F.array(F.col("source")) if members is None else members
-    plan, _ = _plan(docs, id_col, text_col, members, seed, weights_of, share)
-    pattern, h, size = _keyed(docs, id_col, text_col, members, seed)
-    rows = docs.withColumns({"__p": pattern, "__h": h, "__size": size})
-    plan = plan.select(F.col("p").alias("__p"), F.col("cuts").alias("__cuts"))
-    rows = rows.where("__size > 0").join(F.broadcast(plan), "__p").withColumn("__copy", F.explode(_drawn_sources(F.col("__h"), F.col("__cuts"))))
-    return rows.select(docs.columns)
+    plan, _ = _plan(durable(_keyed(docs, id_col, text_col, members, seed)), weights_of, share)
+    rows = _keyed(docs, id_col, text_col, members, seed, F.struct("*").alias("row")).where("size > 0").join(F.broadcast(plan), "p")
+    return rows.withColumn("copy", F.explode(_drawn_sources(F.col("h"), F.col("cuts")))).select("row.*")

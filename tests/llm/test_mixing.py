@@ -106,3 +106,38 @@ def test_empty_tables(spark):
     assert m.mixed(empty).count() == 0 and m.drawn(empty).count() == 0
     blank = spark.createDataFrame([(1, "", "a", 0, "")], SCHEMA)
     assert [tuple(r)[:6] for r in m.mixed(blank).collect()] == [(1, "a", 0, 0, 0.0, 0)] and m.drawn(blank).count() == 0
+
+
+def test_thresholds_against_a_sorted_line(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [("p", rng.getrandbits(64) - (1 << 63), rng.randint(0, 9)) for _ in range(3000)] + [("q", 77, 4)] * 500 + [("q", rng.getrandbits(63), 3) for _ in range(40)]
+    narrow = spark.createDataFrame(rows, "p string, h long, size int").selectExpr("p", "h", "cast(size as long) size").repartition(3)
+    line = {}
+    for p in "pq":
+        hashes, run, line[p] = {}, 0, []
+        for _, h, size in (r for r in rows if r[0] == p):
+            hashes[h] = hashes.get(h, 0) + size
+        for h in sorted(hashes):
+            line[p].append((run + hashes[h] / 2, h))
+            run += hashes[h]
+        line[p].append((run, None))
+    wanted = [(p, k, rest) for p in "pq" for k, rest in enumerate(rng.sample(range(1, int(line[p][-1][0])), 12))]
+    for together, bits in ((4, 3), (64, 8), (10_000, 8)):
+        monkeypatch.setattr(m, "SORTED_TOGETHER", together)
+        monkeypatch.setattr(m, "LEVEL_BITS", bits)
+        got = m._thresholds(narrow, wanted, len(rows))
+        for p, k, rest in wanted:
+            # Which documents lie before the threshold is what counts; it may lie between two of their hashes.
+            before = {h for middle, h in line[p][:-1] if middle < rest}
+            assert {h for _, h in line[p][:-1] if h < got[p, k]} == before
+
+
+def test_columns_of_any_name_and_type_pass_through(spark):
+    names = ["__p", "__h", "__size", "__copy", "__cuts", "p", "h", "size", "copy", "cuts", "row", "doc_id", "text", "source", "a.b", "m"]
+    kinds = {"doc_id": "long", "m": "map<string,int>"}
+    line = lambda i: tuple({"doc_id": i, "text": "word " * (1 + i % 5), "source": "ab"[i % 2], "m": {"k": i}}.get(c, f"{c}-{i}") for c in names)
+    rows = [line(i) for i in range(60)]
+    out = m.drawn(spark.createDataFrame(rows, ", ".join(f"`{c}` {kinds.get(c, 'string')}" for c in names)))
+    assert out.columns == names
+    got = [tuple(r) for r in out.collect()]
+    assert got and all(r in rows for r in got) and len({r[11] for r in got}) > 30

@@ -17,7 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate
@@ -69,6 +69,7 @@ ALLOWED = tuple(
 # Harmless strings within a candidate.
 _WORD = re.compile(r"(?i)example|placeholder|changeme|your[_-]?key|xxxx|abcdefghij|0123456789|1234567890")
 _UUID = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}(?![0-9A-Za-z])")
+_PART = re.compile(r"[A-Za-z0-9]+")
 _JOINER = re.compile(r"[/_+=-]+")
 _PLAIN = re.compile(r"(?:[A-Z]?[a-z]{2,}+)++[0-9]*|[A-Z]+[0-9]*|[A-Za-z]?[0-9]*")
 
@@ -80,27 +81,29 @@ def plain(run: str) -> bool:
 
 def harmless(run: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Stretches of words and UUIDs between joiners, by start, and placeholders that stand within other characters."""
-    apart, within = [m.span() for m in _UUID.finditer(run)], []
+    apart, within = {m.span() for m in _UUID.finditer(run)}, []
+    parts = [m.span() for m in _PART.finditer(run)] if _WORD.search(run) else []
+    starts, whole, usual = [a for a, _ in parts], None, False
     for m in _WORD.finditer(run):
-        a, b = m.span()
-        while a and run[a - 1].isalnum():
-            a -= 1
-        while b < len(run) and run[b].isalnum():
-            b += 1
-        if plain(run[a:b]):
-            apart.append((a, b))
+        a, b = m.span()  # a word begins and ends with a letter or a digit, so within a part
+        around = starts[bisect_right(starts, a) - 1], parts[bisect_right(starts, b - 1) - 1][1]
+        if around != whole:
+            whole, usual = around, plain(run[around[0] : around[1]])
+        if usual:
+            apart.add(around)
         else:
-            within.append(m.span())
+            within.append((a, b))
     return sorted(apart), within
 
 
 def windows_above(text: str, cls: CharClass, width: int = WIDTH) -> Iterator[tuple[int, int]]:
-    """Start and end of every window of one stretch that passes; one character enters and one leaves at a time."""
+    """Start and end of the merged windows of one stretch that pass; one character enters and one leaves at a time."""
     plogp = [0.0] + [c * math.log2(c) for c in range(1, width + 1)]
     counts: dict[str, int] = {}
     groups = [frozenset(g) for g, _ in cls.needs]
     have = [0] * len(groups)
     total = 0.0
+    first = last = -1  # of the merged windows so far
     for i, ch in enumerate(text):
         c = counts.get(ch, 0)
         counts[ch] = c + 1
@@ -115,7 +118,13 @@ def windows_above(text: str, cls: CharClass, width: int = WIDTH) -> Iterator[tup
             for k, g in enumerate(groups):
                 have[k] -= old in g
         if i >= width - 1 and math.log2(width) - total / width >= cls.bits and all(h >= n for h, (_, n) in zip(have, cls.needs)):
-            yield i - width + 1, i + 1
+            if i - width + 1 > last:
+                if last >= 0:
+                    yield first, last
+                first = i - width + 1
+            last = i + 1
+    if last >= 0:
+        yield first, last
 
 
 def entropy_spans(text: str, allowed: tuple[re.Pattern, ...] = ALLOWED) -> list[tuple[int, int]]:
@@ -126,7 +135,7 @@ def entropy_spans(text: str, allowed: tuple[re.Pattern, ...] = ALLOWED) -> list[
         if not _DIGIT.search(run) or any(p.fullmatch(run) for p in allowed):
             continue
         apart, within = harmless(run)
-        here, merged, at = [], [], 0
+        here, merged, at = [], [], 0  # windows are merged as they come, so that few spans are held
         for start, end in [*apart, (len(run), len(run))]:
             part = run[at:start]
             classes = [c for c in CLASSES if c.name != "base64url" or not plain(part)] if len(part) >= WIDTH else []
@@ -137,7 +146,9 @@ def entropy_spans(text: str, allowed: tuple[re.Pattern, ...] = ALLOWED) -> list[
                 merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
             else:
                 merged.append((a, b))
-        found += [(m.start() + a, m.start() + b) for a, b in merged if not any(x < b and a < y for x, y in within)]
+        # Placeholders do not overlap: of those that begin before b, the last one ends last.
+        begun, ends = [x for x, _ in within], [0, *(y for _, y in within)]
+        found += [(m.start() + a, m.start() + b) for a, b in merged if ends[bisect_left(begun, b)] <= a]
     return found
 
 

@@ -42,7 +42,48 @@ def test_incremental_windows_match_recounting():
         for _ in range(150):
             chars = rng.choice([cls.chars, cls.chars[:6], cls.chars[-9:]])
             text = "".join(rng.choice(chars) for _ in range(rng.randint(0, 60)))
-            assert list(s.windows_above(text, cls)) == list(brute_windows(text, cls))
+            want = []
+            for a, b in brute_windows(text, cls):
+                if want and a <= want[-1][1]:
+                    want[-1] = (want[-1][0], b)
+                else:
+                    want.append((a, b))
+            assert list(s.windows_above(text, cls)) == want
+
+
+def test_very_long_runs_take_linear_time_and_little_memory():
+    import time
+    import tracemalloc
+
+    rng = random.Random(7)
+    blob = "".join(rng.choices(s._NUM + s._LOW + s._UP + "+/", k=150_000))
+    tracemalloc.start()
+    assert s.entropy_spans("x " + blob)[0][0] == 2
+    assert tracemalloc.get_traced_memory()[1] < 8_000_000
+    tracemalloc.stop()
+    for text in ("x" * 2_000_000 + "1", "xxxx-1234567890/" * 100_000, "example1" * 200_000):
+        start = time.perf_counter()
+        assert s.entropy_spans(text) == []
+        assert time.perf_counter() - start < 30
+
+
+def test_placeholders_and_spans_by_brute_force():
+    rng = random.Random(11)
+    bits = ["example", "xxxx", "your_key", "abc", "Q7", KEY, "-", "/", "_", "1234567890", "K9x", "+"]
+    for _ in range(2000):
+        run = "".join(rng.choice(bits) for _ in range(rng.randint(1, 9)))
+        apart, within = {m.span() for m in s._UUID.finditer(run)}, []
+        for m in s._WORD.finditer(run):
+            a, b = m.span()
+            while a and run[a - 1].isalnum():
+                a -= 1
+            while b < len(run) and run[b].isalnum():
+                b += 1
+            if s.plain(run[a:b]):
+                apart.add((a, b))
+            else:
+                within.append(m.span())
+        assert s.harmless(run) == (sorted(apart), within), run
 
 
 def test_entropy_finds_keys_and_leaves_prose_paths_and_placeholders():

@@ -26,10 +26,10 @@ from pyspark.sql import types as T
 
 from skerry.llm import tokens
 from skerry.llm.arrow_text import sliced
+from skerry.operators.hot_keys import running_totals
 from skerry.session import durable
 
 RANKED_TOGETHER = 20_000
-BROADCAST_SLOTS = 200_000
 
 
 @dataclass(frozen=True)
@@ -80,18 +80,21 @@ def shortest_pack_first(histogram: dict[int, int], most: int) -> list[Pattern]:
     return [Pattern(count, runs) for total in sorted(packs, reverse=True) for runs, count in packs[total].items()]
 
 
-def slots(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, ranks, first sequence, offset in it) for each place of each pattern."""
+def slots(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, first rank, ranks, times in a sequence, first sequence, offset in it) for each run of each pattern.
+
+    A length adds three patterns at most, and a sequence of `most` tokens holds sqrt(2 most) runs at most, so that
+    there are about 3 most sqrt(2 most) slots at most, whatever the table: 393,216 for 2,048 tokens.
+    """
     ranks: dict[int, int] = {}
     out, sequence = [], 0
     for p in patterns:
         offset = 0
         for length, times in p.runs:
-            for _ in range(times):
-                first = ranks.get(length, 0)
-                out.append((length, first, p.count, sequence, offset))
-                ranks[length] = first + p.count
-                offset += length
+            first, n = ranks.get(length, 0), p.count * times
+            out.append((length, first, n, times, sequence, offset))
+            ranks[length] = first + n
+            offset += length * times
         sequence += p.count
     return out
 
@@ -123,19 +126,18 @@ def placed(cut: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
     spark = cut.sparkSession
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # `most` rows at most
     found = slots(shortest_pack_first(histogram, most))
-    table = spark.createDataFrame(found, "length long, first long, ranks long, sequence long, offset long")
+    place = F.broadcast(spark.createDataFrame(found, "length long, first long, ranks long, times long, sequence long, at long"))
     buckets = max(1, -(-sum(histogram.values()) // RANKED_TOGETHER))
     dealt = cut.withColumn("bucket", F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), F.lit(buckets)))
-    counts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    earlier = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    bases = counts.select("length", "bucket", F.coalesce(earlier, F.lit(0)).alias("base"))
+    bases = running_totals(dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")), ["length"], "bucket", "n", "base").drop("n")
     within = Window.partitionBy("length", "bucket").orderBy(F.col(id_col).asc_nulls_first(), "start", "ids_crc32")
     ranked = dealt.withColumn("within", F.row_number().over(within)).join(bases, ["length", "bucket"])
     ranked = ranked.withColumn("rank", F.col("base") + F.col("within") - 1)
-    place = F.broadcast(table) if len(found) <= BROADCAST_SLOTS else table
     at = (ranked["length"] == place["length"]) & (ranked["rank"] >= place["first"]) & (ranked["rank"] < place["first"] + place["ranks"])
-    sequence = (place["sequence"] + ranked["rank"] - place["first"]).alias("sequence_id")
-    return ranked.join(place, at).select(*(ranked[c] for c in cut.columns), sequence, place["offset"])
+    step = ranked["rank"] - place["first"]
+    sequence = (place["sequence"] + F.floor(step / place["times"])).alias("sequence_id")
+    offset = (place["at"] + step % place["times"] * ranked["length"]).alias("offset")
+    return ranked.join(place, at).select(*(ranked[c] for c in cut.columns), sequence, offset)
 
 
 def packed(docs: DataFrame, tokenizer: str, end_id: int, most: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

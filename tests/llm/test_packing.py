@@ -24,10 +24,12 @@ def test_patterns_hold_the_histogram(histogram):
             held[n] = held.get(n, 0) + t * p.count
     assert held == histogram
     taken = {}
-    for length, first, ranks, sequence, offset in packing.slots(patterns):
-        assert taken.get(length, 0) == first and offset + length <= 64
+    found = packing.slots(patterns)
+    for length, first, ranks, times, sequence, offset in found:
+        assert taken.get(length, 0) == first and offset + length * times <= 64 and ranks % times == 0
         taken[length] = first + ranks
     assert taken == histogram
+    assert len(patterns) <= 3 * 64 and len(found) <= 3 * 64 * 12
 
 
 def test_one_at_a_time_gives_the_same_pack_lengths():
@@ -89,6 +91,15 @@ def test_sequences_are_padded_but_at_a_power_of_two(spark):
     assert {r.sequence_id: r.ids for r in got} == {0: [5, 6, 7, 0, 0, 0, 0, 0], 1: [5, 6, 8, 9], 2: [4]}
 
 
+def test_one_hot_length_in_many_buckets(spark, monkeypatch):
+    from skerry.operators import hot_keys
+
+    monkeypatch.setattr(packing, "RANKED_TOGETHER", 20)
+    monkeypatch.setattr(hot_keys.running_totals, "__defaults__", ("before", 4))
+    docs = [(i, "word", "c", 1, 0.5) for i in range(900)] + [(1000 + i, "word " * (i % 60), "c", 1, 0.5) for i in range(200)]
+    check(packing.packed(spark.createDataFrame(docs, SCHEMA).repartition(3), PATH, 1, 64).collect(), docs, 64)
+
+
 def test_empty_table(spark):
     assert packing.packed(spark.createDataFrame([], SCHEMA), PATH, 1).count() == 0
 

@@ -6,7 +6,8 @@ boolean column over ratios of these counts. Both are plain expressions: a scan,
 Defined results: a null text counts as empty; an empty text has zero words and fails the word minimum;
 a ratio whose denominator is zero is zero; repeated rows are judged separately and alike; null ids are kept
 as they are; columns other than the id and the text are never read by `judged`, so their names cannot clash.
-Repeated windows are found by 64-bit hashes of eight words, compared within one text only.
+Repeated windows are found by 64-bit hashes of eight words, compared within one text only. Stop words are those of
+four languages, in lower case; a text without any of them, such as one in another language, fails that rule.
 """
 
 from __future__ import annotations
@@ -119,24 +120,31 @@ def verdict(counts: dict[str, Column], rules: tuple[Rule, ...] = RULES) -> Colum
 
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_FIELDS = ("n_words", "word_chars", "n_symbols", "n_repeat_words", "n_exclaims", "n_upper", "n_letters", "n_stop", "n_echo")
+
+
+def _counts(m: Column) -> dict[str, Column]:
+    return {c: m[c] for c in _FIELDS} | {"n_lines": m["lines"]["n"], "n_dup_lines": m["lines"]["dup"]}
+
+
+def _base_failed(counts: dict[str, Column]) -> Column:
+    return (counts["n_words"] < 20) | (100 * counts["n_repeat_words"] > 30 * counts["n_words"])
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """id, the counts of BASE, base_failed and kept for each row."""
-    m = docs.select(F.col(id_col), measured(F.col(text_col)).alias("m")).select(id_col, "m.*")
-    counts = {c: F.col(c) for c in m.columns if c not in (id_col, "lines")} | {"n_lines": F.col("lines.n"), "n_dup_lines": F.col("lines.dup")}
-    base_failed = (counts["n_words"] < 20) | (100 * counts["n_repeat_words"] > 30 * counts["n_words"])
-    return m.select(id_col, *(counts[c].alias(c) for c in BASE), base_failed.alias("base_failed"), (~base_failed & verdict(counts, rules)).alias("kept"))
+
+    def row(m: Column) -> Column:
+        counts = _counts(m)
+        failed = _base_failed(counts)
+        return F.struct(*(counts[c].alias(c) for c in BASE), failed.alias("base_failed"), (~failed & verdict(counts, rules)).alias("kept"))
+
+    return docs.select(F.col(id_col), F.inline(F.array(let(measured(F.col(text_col)), row))))
 
 
 def passing(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs that pass, with all their columns."""
-    name = "__measured"
-    counted = docs.withColumn(name, measured(F.col(text_col)))
-    fields = ("n_words", "word_chars", "n_symbols", "n_repeat_words", "n_exclaims", "n_upper", "n_letters", "n_stop", "n_echo")
-    counts = {c: F.col(f"{name}.{c}") for c in fields} | {"n_lines": F.col(f"{name}.lines.n"), "n_dup_lines": F.col(f"{name}.lines.dup")}
-    base_failed = (counts["n_words"] < 20) | (100 * counts["n_repeat_words"] > 30 * counts["n_words"])
-    return counted.where(~base_failed & verdict(counts, rules)).drop(name)
+    """The rows of docs that pass; one condition over the text, so columns of any name pass through."""
+    return docs.where(let(measured(F.col(text_col)), lambda m: ~_base_failed(_counts(m)) & verdict(_counts(m), rules)))
 
 
 def _oracle() -> str:

@@ -35,3 +35,11 @@ def test_empty_table_and_passing_keeps_columns(spark):
     good = "the quick fox and a dog went to the market in the town for some bread and then came back home at night"
     docs = spark.createDataFrame([(1, good, 7, "m"), (2, "###", 7, "m"), (3, (good + " !!").upper().replace(" ", "!! "), 1, "")], SCHEMA)
     assert [tuple(r) for r in q.passing(docs).collect()] == [(1, good, 7, "m")]
+
+
+def test_passing_keeps_columns_of_any_name_and_type(spark):
+    good = "the quick fox and a dog went to the market in the town for some bread and then came back home at night"
+    schema = "doc_id long, text string, `__measured` string, measured int, `a.b` int, x map<string,int>"
+    rows = [(1, good, "mine", 5, 6, {"k": 1}), (2, "###", "mine", 5, 6, None)]
+    got = q.passing(spark.createDataFrame(rows, schema))
+    assert got.columns == ["doc_id", "text", "__measured", "measured", "a.b", "x"] and [tuple(r) for r in got.collect()] == rows[:1]

@@ -8,7 +8,7 @@ precision from the original vectors and merged by heaps. The result is therefore
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part; vectors of
 another dimension are no candidates; candidates with the query's own id are its own row; repeated equal rows count
-once; fewer candidates than k give fewer rows; ties go to the smaller id. Null ids take no part. An empty table
+once, and are merged before groups are counted and dealt; fewer candidates than k give fewer rows; ties go to the smaller id. Null ids take no part. An empty table
 gives an empty result. Other columns are not read.
 """
 
@@ -105,7 +105,7 @@ def nearest_in_group(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.
 
 
 def _blocks(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """By dimension: ids and vectors of the distinct rows."""
+    """By dimension: ids and vectors of the rows, which are distinct, in order."""
     rows = rows.combine_chunks()
     if not rows.num_rows:
         return {}
@@ -117,16 +117,14 @@ def _blocks(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         at = np.flatnonzero(sizes == n)
         x = flat[(ends[at] - n)[:, None] + np.arange(n)[None, :]]
         order = np.lexsort((*x.T[::-1], ids[at]))
-        x, i = x[order], ids[at][order]
-        new = np.append(True, (i[1:] != i[:-1]) | (x[1:] != x[:-1]).any(axis=1))
-        out[int(n)] = (i[new], x[new])
+        out[int(n)] = (ids[at][order], x[order])
     return out
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest rows of every query row."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    rows = rows.where(F.col("id").isNotNull() & usable(F.col("vector")))
+    rows = rows.where(F.col("id").isNotNull() & usable(F.col("vector"))).groupBy("id", "vector").agg(F.max("asks").alias("asks"))
     sizes = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
     c_groups = max(1, -(-sizes["n"] // min(MOST_ROWS, max(LEAST_ROWS, sizes["n"] // GROUPS))))
     q_groups = max(1, -(-sizes["q"] // MOST_ROWS))

@@ -37,7 +37,6 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
-
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, part = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 3)
     model = quality_model.fitted(docs, table(spark, sf_dir, "labels"), part != 1)
@@ -47,7 +46,8 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, part = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 5)
     model = toxicity.fitted(docs, table(spark, sf_dir, "labels"), part != 0)
-    return toxicity.scored(docs, model).select("doc_id", (part == 0).alias("held_out"), "score", "predicted")
+    spans = F.array_join(F.transform("passages", lambda p: F.concat_ws(":", p["first"], p["last"])), ",").alias("passages")
+    return toxicity.scored(docs, model).select("doc_id", (part == 0).alias("held_out"), "score", "predicted", spans)
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ come by chance with E^r / r! at most (Karlin and Altschul), where K bounds the c
 takes its most significant r, at a factor of 2 for each further one; a logistic curve, fitted out of fold, turns the
 negative logarithm into a probability.
 
-`passages` gives every significant passage: all maximal scoring segments (Ruzzo and Tompa) whose E is small enough.
+Every significant passage is returned too: all maximal scoring segments whose own E is small enough.
 
 Defined results: a null text counts as empty; a text without words scores as the least toxic text does; repeated
 rows score alike; null ids are allowed and never learned from; a repeated label row counts once, by its smallest
@@ -36,6 +36,7 @@ from skerry.llm.word_hashes import Words, mixed
 SAMPLE, CHUNK = 8_000, 256
 PREFIXES = (3, 4, 5, 6)
 PRIOR, SHRINK, DRIFT = 0.02, 1.5, 0.5
+MOST_E = 0.01
 _TOP = np.uint64(64 - 20)
 
 
@@ -76,17 +77,6 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * x + self.shift, -50, 50)))
 
 
-def best_segments(scores: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Largest sum of neighbouring scores in each text, at least 0: one pass over the running sums."""
-    out = np.zeros(len(offsets) - 1)
-    for i, (a, b) in enumerate(zip(offsets, offsets[1:])):
-        part = scores[a:b]
-        if b > a and part.max() > 0:
-            sums = np.append(0.0, np.cumsum(part))
-            out[i] = (sums - np.minimum.accumulate(sums)).max()
-    return out
-
-
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, sum), in linear time."""
     steps, total = [], 0.0
@@ -114,21 +104,25 @@ def _maximal(steps: Iterable[tuple[int, float, float]]) -> list[tuple[int, int,
     return [(a, b, after - before) for a, b, before, after, _ in found]
 
 
-def segment_sums(scores: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """Sums of all maximal segments of each text, largest first."""
+def segments(scores: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, int, float]]]:
+    """All maximal segments (start, end, sum) of each text."""
     out = []
     for a, b in zip(offsets, offsets[1:]):
         part = scores[a:b]
         at = np.flatnonzero(part > 0)
         if len(at):
             sums = np.append(0.0, np.cumsum(part))
-            found = _maximal(zip(at.tolist(), sums[at].tolist(), sums[at + 1].tolist()))
-            out.append(np.sort(np.array([v for *_, v in found]))[::-1])
+            out.append(_maximal(zip(at.tolist(), sums[at].tolist(), sums[at + 1].tolist())))
         else:
-            out.append(np.zeros(0))
+            out.append([])
     return out
 
 
+def segment_sums(found: list[list[tuple[int, int, float]]]) -> list[np.ndarray]:
+    """Sums of the segments of each text, largest first."""
+    return [np.sort(np.array([v for *_, v in x]))[::-1] if x else np.zeros(0) for x in found]
+
+
 def evidence(sums: list[np.ndarray], n: np.ndarray, lam: float, k: float, crowd: float) -> np.ndarray:
     """-log of the chance of each text's segments: of the best one, or of the r best, whichever is less."""
     out = -np.log(k * np.maximum(n, 1))
@@ -254,7 +248,7 @@ def train(texts: pa.Array, labels: np.ndarray) -> Model:
             held = slice(start, start + len(offsets) - 1)
             own = fold[held] == k
             n[held][own] = np.diff(offsets)[own]
-            for i, found in enumerate(segment_sums(scores, offsets)):
+            for i, found in enumerate(segment_sums(segments(scores, offsets))):
                 if own[i]:
                     sums[start + i] = found
             background.append(scores[np.repeat(own & ~toxic[held], np.diff(offsets))])
@@ -285,38 +279,24 @@ def fitted(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc
     return Model(np.frombuffer(bytes(found[0]["keys"]), np.uint64), np.array(found[0]["numbers"][5:]), *found[0]["numbers"][:5])
 
 
-def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, score and predicted of each row."""
+def scored(docs: DataFrame, model: Model, most_e: float = MOST_E, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, score, predicted and passages (first word, last word, sum, e) of each row.
+
+    Passages are all maximal segments with E of at most `most_e`, in order; words are runs of letters, counted from 0.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most the forms of the sample
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 1):
-            scores, offsets = sent.value.token_scores(Words(batch.column(1)))
-            p = sent.value.probability(segment_sums(scores, offsets), np.diff(offsets))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[id_col, "score", "predicted"])
-
-    schema = T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.select(id_col, text_col).mapInArrow(score, schema)
-
-
-def passages(docs: DataFrame, model: Model, most_e: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and (first word, last word, score, e) of every significant passage; words are runs of letters."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in sliced(batches, 1):
             scores, offsets = m.token_scores(Words(batch.column(1)))
-            rows = []
-            for i in np.flatnonzero(best_segments(scores, offsets) > 0):
-                a, b = offsets[i], offsets[i + 1]
-                for s, e, value in maximal_segments(scores[a:b].tolist()):
-                    chance = m.k * (b - a) * math.exp(-m.lam * value)
-                    if chance <= most_e:
-                        rows.append((int(i), s, e - 1, value, float(chance)))
-            at = pa.array([r[0] for r in rows], pa.int64())
-            rest = [pa.array([r[k] for r in rows], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()), (4, pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *rest], names=[id_col, "first", "last", "score", "e"])
-
-    kinds = {"first": T.LongType(), "last": T.LongType(), "score": T.DoubleType(), "e": T.DoubleType()}
-    return docs.select(id_col, text_col).mapInArrow(find, T.StructType([docs.schema[id_col], *(T.StructField(n, t) for n, t in kinds.items())]))
+            found, n = segments(scores, offsets), np.diff(offsets)
+            p = m.probability(segment_sums(found), n)
+            e = lambda i, value: float(max(m.k, m.crowd) * n[i] * math.exp(-m.lam * value))
+            passages = [[{"first": a, "last": b - 1, "score": v, "e": e(i, v)} for a, b, v in x if e(i, v) <= most_e] for i, x in enumerate(found)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(passages, kind)], names=[id_col, "score", "predicted", "passages"])
+
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64()), ("e", pa.float64())]))
+    passage = T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("e", T.DoubleType())])
+    schema = T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("passages", T.ArrayType(passage))])
+    return docs.select(id_col, text_col).mapInArrow(score, schema)

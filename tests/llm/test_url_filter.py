@@ -1,6 +1,10 @@
+import hashlib
 import math
+import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from skerry.llm import url_filter as u
 
 SCHEMA = "page_id long, url string, score string, row int, host string"
@@ -19,24 +23,18 @@ def rule(host, path):
     return max(fit, key=lambda r: len(r.text), default=None)
 
 
-def codes(text):
-    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
-    return [u.START, u.START] + [u.ALPHABET.find(c) + 1 for c in low]
-
-
-def model(texts):
-    n = [Counter(), Counter(), Counter()]
+def model(texts, symbols):
+    n = [Counter() for _ in range(u.GRAM)]
     for t in texts:
-        z = codes(t)
-        for i in range(2, len(z)):
-            for k in range(3):
-                n[k][tuple(z[i - k : i + 1])] += 1
+        z = u.PAD * u.CONTEXT + t
+        for i in range(u.CONTEXT, len(z)):
+            for k in range(u.GRAM):
+                n[k][z[i - k : i + 1]] += 1
 
     def p(gram):
         if not gram:
-            return 1 / u.SYMBOLS
-        order = len(gram) - 1
-        same = {g: c for g, c in n[order].items() if g[:-1] == gram[:-1]}
+            return 1 / symbols
+        same = {g: c for g, c in n[len(gram) - 1].items() if g[:-1] == gram[:-1]}
         if not same:
             return p(gram[1:])
         return (same.get(gram, 0) + len(same) * p(gram[1:])) / (sum(same.values()) + len(same))
@@ -47,27 +45,31 @@ def model(texts):
 def brute(urls):
     parts = [split(x) for x in urls]
     rules = [rule(*x) for x in parts]
-    taught = {v: [h + p for (h, p), r in zip(parts, rules) if r and r.verdict == v] for v in ("allow", "block")}
-    good, bad = model(taught["allow"]), model(taught["block"])
-    both = bool(taught["allow"]) and bool(taught["block"])
-
-    def score(t):
-        z = codes(t)
-        grams = [tuple(z[i - 2 : i + 1]) for i in range(2, len(z))]
-        return round(sum(math.log(good(g) / bad(g)) for g in grams) / len(grams), 9) if grams and both else 0.0
-
-    scores = [score(h + p) for h, p in parts]
+    half = [0 if hashlib.md5((h + p).encode()).hexdigest() < "8" else 1 for h, p in parts]
+    symbols = len({c for h, p in parts for c in h + p}) + 1
+    models = []
+    for without in (None, 0, 1):
+        taught = {v: [h + p for (h, p), r, x in zip(parts, rules, half) if r and r.verdict == v and x != without] for v in ("allow", "block")}
+        full = any(taught["allow"]) and any(taught["block"])
+        models.append((model(taught["allow"], symbols), model(taught["block"], symbols)) if full else models[0] if models else None)
+
+    def score(t, m):
+        z = u.PAD * u.CONTEXT + t
+        grams = [z[i - u.CONTEXT : i + 1] for i in range(u.CONTEXT, len(z))]
+        return round(sum(math.log(m[0](g) / m[1](g)) for g in grams) / len(grams), 9) if grams and m else 0.0
+
+    scores = [score(h + p, models[x + 1 if r else 0]) for (h, p), r, x in zip(parts, rules, half)]
     stat = lambda v: [s for s, r in zip(scores, rules) if r and r.verdict == v]
     cut = -math.inf
-    if both:
-        a, b = stat("allow"), stat("block")
+    a, b = stat("allow"), stat("block")
+    if a and b:
         m = lambda x: sum(x) / len(x)
         sd = lambda x: math.sqrt(m([(v - m(x)) ** 2 for v in x]))
-        cut = (m(a) * sd(b) + m(b) * sd(a)) / (sd(a) + sd(b))
-    return [(h, p, r.text if r else None, r.verdict if r else "allow" if not h + p or s >= cut else "block", s) for (h, p), r, s in zip(parts, rules, scores)]
+        cut = (m(a) * sd(b) + m(b) * sd(a)) / (sd(a) + sd(b)) if sd(a) + sd(b) else (m(a) + m(b)) / 2
+    return [(h, p, r.text if r else None, r.verdict if r else "allow" if not h + p or s >= round(cut, 9) else "block", s) for (h, p), r, s in zip(parts, rules, scores)]
 
 
-URLS = ["https://A.Example.ORG/en/2", "http://x.example.org/es/", "http://example.org/en/17?x=://y", "http://q.com/fr/5#top", "https://m.q.com/de/9", "http://com/de/", "http://notorg/x", "http://b.net/fr/1", "http://b.net/de/8/", "ftp://é.net/日本/ü", "http://b.net", "http://b.net?x", "no scheme", "", None, "http:///only/path", "x://y://z/a", "http://sub.org", "http://q.com/fr/" + "a" * 5000, "http://b.net/line\nbreak"]
+URLS = ["https://A.Example.ORG/en/2", "http://x.example.org/es/", "http://example.org/en/17?x=://y", "http://q.com/fr/5#top", "https://m.q.com/de/9", "http://com/de/", "http://notorg/x", "http://b.net/fr/1", "http://b.net/de/8/", "ftp://é.net/日本/ü", "http://b.net", "http://b.net?x", "no scheme", "", None, "http:///only/path", "x://y://z/a", "http://sub.org", "http://q.com/fr/" + "a" * 5000, "http://b.net/line\nbreak", "http://b.net/%E6%97%A5?q", "http://b.net/~me:x=1", "http://日本.net/😀/😀é"]
 
 
 def run(spark, urls):
@@ -95,3 +97,30 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "http://a.org/", "", 1, "")], SCHEMA)
     plan = u.judged(df)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_contexts_grow_with_the_input_and_hot_grams_change_nothing(spark, monkeypatch):
+    df = lambda n: spark.createDataFrame([(i, f"http://{i % 97}{i * i % 1009}.org/en/{i * 7919}", i % 2) for i in range(n)], "id long, url string, half int")
+    rows = lambda n: df(n).select(F.col("id").alias("row"), F.col("url").alias("host"), F.lit("").alias("path"), F.lit("allow").alias("taught"), "half")
+    few, many = (u.gram_counts(u.positions(rows(n))).count() for n in (100, 2000))
+    assert many > 4 * few
+    urls = URLS * 3
+    want = run(spark, urls)
+    for hot in (1, 60):
+        monkeypatch.setattr(u, "HOT_GRAMS", hot)
+        same(run(spark, urls), want)
+
+
+def test_models_tell_unseen_urls_apart(spark):
+    rng = random.Random(3)
+    word = lambda s: "".join(rng.choice(s) for _ in range(rng.randint(2, 5)))
+    good, bad = ["news", "wiki", "daily", "learn"], ["casino", "pills", "win", "xxx"]
+    urls, truth = [], []
+    for i in range(600):
+        kind = i % 2
+        host = "".join(rng.choice((good, bad)[kind]) for _ in range(2)) + word("abcde")
+        urls.append(f"http://{host}.{'org/' if kind == 0 and i % 3 else 'com/de/' if i % 3 else 'net/'}{rng.randint(1, 99)}")
+        truth.append(("allow", "block")[kind])
+    got = run(spark, urls)
+    free = [(g[3], t) for g, t in zip(got, truth) if g[2] is None]
+    assert len(free) == 200 and sum(a == b for a, b in free) > 195

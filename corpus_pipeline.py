@@ -18,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from skerry.llm import mixing, near_dup, packing, quality_rules, secret_scan
-from skerry.session import prepare, shared_folder, table
+from skerry.session import prepare, remove_folder, shared_folder, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,11 +53,15 @@ ORACLE_SQL = None  # fingerprints and tokens have no SQL form
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again in the shared folder."""
+    """All stages over documents, each written and read again in the shared folder; what a stage read goes once it is done."""
     prepare(spark)
     base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(out := f"{base}/{k}-{name}")
         docs = spark.read.parquet(out)
+        if before:
+            remove_folder(spark, before)
+        before = out
     return docs

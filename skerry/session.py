@@ -58,3 +58,9 @@ def durable(df: DataFrame) -> DataFrame:
     """Cuts lineage in the shared folder, so that a lost executor costs a reread only."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever file system holds it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

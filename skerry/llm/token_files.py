@@ -129,9 +129,11 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_co
     def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoder(tokenizer, "bytes", added)
         end = np.array([end_id], encoder.dtype)
-        for batch in sliced(batches, 1, 2 << 20):
-            frames = [frame(i, np.concatenate([ids, end])) for i, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)))]
-            yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
+        for batch in batches:
+            for part in sliced([batch], 1, 2 << 20):
+                frames = [frame(i, np.concatenate([ids, end])) for i, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)))]
+                yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
+            pa.default_memory_pool().release_unused()
 
     keyed = _key_of(rows).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
     dealt = keyed.select("id", "text", "h", part_of("id", "h", "salt").alias("part")).repartitionById(parts, "part")

@@ -8,6 +8,7 @@ an added token, if such a string stands for its token.
 
 from __future__ import annotations
 
+import os
 from functools import lru_cache
 from itertools import chain
 
@@ -41,6 +42,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, scheme: str, added: bool = False):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core; more threads only hold memory
         from tokenizers import Tokenizer
 
         if scheme not in SCHEMES:

@@ -1,6 +1,6 @@
 """Pair relations: radius joins, nearest neighbours, local scales and counts, within a category or over all rows.
 
-A category is an equi-join key. Radius joins over all rows meet in grid cells of the radius on a few leading
+Within a category, tiles of its rows meet two by two in tasks of bounded size. Radius joins over all rows meet in grid cells of the radius on a few leading
 dimensions, so that only neighbouring cells are compared. Nearest neighbours are found tile by tile in tasks of
 bounded size, which return k rows a query and tile, never all pairs.
 """
@@ -16,16 +16,86 @@ from pyspark.sql import functions as F
 
 from skerry.functions import vectors
 
-TILE_ROWS = 4_096
+TILE_ROWS, PAIR_ROWS = 4_096, 1_024
 
 
-def category_pairs(points: DataFrame, channels: dict[str, tuple[int, int]], id_col: str = "vec_id", cat_col: str = "label", vector_col: str = "embedding") -> DataFrame:
-    """(i, j, cat, d_<channel>...) for i < j within a category; a channel is (first, size) of the vector."""
-    cut = lambda c: [F.slice(vector_col, a, n).alias(f"{c}_{k}") for k, (a, n) in channels.items()]
-    a = points.select(F.col(id_col).alias("i"), F.col(cat_col).alias("cat"), *cut("a"))
-    b = points.select(F.col(id_col).alias("j"), F.col(cat_col).alias("cat"), *cut("b"))
-    distances = [vectors.distance(F.col(f"a_{k}"), F.col(f"b_{k}")).alias(f"d_{k}") for k in channels]
-    return a.join(b, "cat").where("i < j").select("i", "j", "cat", *distances)
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+
+def _tiles(points: DataFrame, id_col: str, cat_col: str, vector_col: str, tile: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the meetings (cat, q, c), q <= c, of a category's tiles of about `tile` rows; rows with a null take no part."""
+    rows = points.select(F.col(id_col).cast("long").alias("id"), F.col(cat_col).alias("cat"), F.col(vector_col).cast("array<double>").alias("z")).dropna()
+    tiles = rows.groupBy("cat").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    dealt = rows.join(tiles, "cat").withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    left = dealt.select("cat", F.col("own").alias("q"), F.explode(F.sequence("own", F.col("tiles") - 1)).alias("c"), "id", "z")
+    right = dealt.select(F.col("cat").alias("cat"), F.explode(F.sequence(F.lit(0), "own")).alias("q"), F.col("own").alias("c"), F.col("id").alias("id"), F.col("z").alias("z"))
+    return left, right
+
+
+def _tile_distances(x: np.ndarray, y: np.ndarray, first: int, size: int) -> np.ndarray:
+    """Direct differences, dimension by dimension."""
+    d = np.zeros((len(x), len(y)))
+    for n in range(first - 1, min(first - 1 + size, x.shape[1])):
+        d += (x[:, n, None] - y[None, :, n]) ** 2
+    return np.sqrt(d)
+
+
+def category_pairs(points: DataFrame, channels: dict[str, tuple[int, int]], id_col: str = "vec_id", cat_col: str = "label", vector_col: str = "embedding", within: dict[str, float] | None = None, every: bool = True, tile: int = PAIR_ROWS) -> DataFrame:
+    """(i, j, cat, d_<channel>...) for i < j within a category; a channel is (first, size) of the vector.
+
+    With `within`, only pairs nearer than these radii in every channel named (or in any, if not `every`). The rows of a
+    category are dealt into tiles, each two of which meet in a task of their own, and only the pairs asked for leave it.
+    """
+    kind = points.schema[cat_col].dataType.simpleString()
+    left, right = _tiles(points, id_col, cat_col, vector_col, tile)
+    names = ["i", "j", "cat", *(f"d_{k}" for k in channels)]
+    schema = f"i long, j long, cat {kind}, " + ", ".join(f"d_{k} double" for k in channels)
+
+    def search(key, a: pa.Table, b: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, ...]] = []
+        if a.num_rows and b.num_rows:
+            qi, ci, x, y = a.column("id").to_numpy(), b.column("id").to_numpy(), _matrix(a.column("z")), _matrix(b.column("z"))
+            same = key[1].as_py() == key[2].as_py()
+            for s in range(0, len(x), 256):
+                d = {k: _tile_distances(x[s : s + 256], y, *c) for k, c in channels.items()}
+                met = qi[s : s + 256, None] < ci[None, :] if same else qi[s : s + 256, None] != ci[None, :]
+                if within:
+                    near = [d[k] < r for k, r in within.items()]
+                    met &= reduce(np.logical_and if every else np.logical_or, near)
+                r, k = np.nonzero(met)
+                found.append((np.minimum(qi[s + r], ci[k]), np.maximum(qi[s + r], ci[k]), *(v[r, k] for v in d.values())))
+        parts = [np.concatenate(p) for p in zip(*found)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * len(channels)
+        cats = pa.repeat(key[0], len(parts[0]))
+        return pa.table([pa.array(parts[0], pa.int64()), pa.array(parts[1], pa.int64()), cats, *(pa.array(v, pa.float64()) for v in parts[2:])], names=names)
+
+    return left.groupBy("cat", "q", "c").cogroup(right.groupBy("cat", "q", "c")).applyInArrow(search, schema)
+
+
+def neighbour_counts(points: DataFrame, radii: list[float], id_col: str = "vec_id", cat_col: str = "label", vector_col: str = "embedding", tile: int = TILE_ROWS) -> DataFrame:
+    """(id, c0, c1, ...): the other rows of the category nearer than each radius; tiles count, no pair leaves a task."""
+    left, right = _tiles(points, id_col, cat_col, vector_col, tile)
+    names = [f"c{k}" for k in range(len(radii))]
+
+    def count(key, a: pa.Table, b: pa.Table) -> pa.Table:
+        qi, ci = a.column("id").to_numpy(), b.column("id").to_numpy()
+        same = key[1].as_py() == key[2].as_py()
+        one, other = np.zeros((len(radii), len(qi)), np.int64), np.zeros((len(radii), len(ci)), np.int64)
+        if len(qi) and len(ci):
+            x, y = _matrix(a.column("z")), _matrix(b.column("z"))
+            for s in range(0, len(x), 256):
+                d = _tile_distances(x[s : s + 256], y, 1, x.shape[1])
+                d[qi[s : s + 256, None] == ci[None, :]] = np.inf
+                for k, r in enumerate(radii):
+                    near = d < r
+                    one[k, s : s + 256] += near.sum(1)
+                    other[k] += 0 if same else near.sum(0)
+        ids, counts = (qi, one) if same else (np.concatenate([qi, ci]), np.concatenate([one, other], 1))
+        return pa.table({"id": pa.array(ids, pa.int64()), **{n: pa.array(c, pa.int64()) for n, c in zip(names, counts)}})
+
+    met = left.groupBy("cat", "q", "c").cogroup(right.groupBy("cat", "q", "c")).applyInArrow(count, "id long, " + ", ".join(f"{n} long" for n in names))
+    return met.groupBy("id").agg(*(F.sum(n).alias(n) for n in names))
 
 
 def range_join(points: DataFrame, radius: float, dims: int = 2, id_col: str = "vec_id", vector_col: str = "embedding", equal: list[str] | None = None) -> DataFrame:

@@ -12,6 +12,11 @@ def order_key(id_col: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
 
 
+def place_in_order(id_col: str, seed: int) -> Column:
+    """Place of a row in the seeded order, in [0, 1); rows of equal ids share it."""
+    return F.conv(F.substring(order_key(id_col, seed), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+
+
 def uniform(rows: DataFrame, id_col: str, size: int, seed: int) -> DataFrame:
     """Exactly `size` rows without replacement (all, if fewer): a distributed top-k, no global sort."""
     return rows.orderBy(order_key(id_col, seed), id_col).limit(size)
@@ -76,11 +81,20 @@ def folds(rows: DataFrame, group_col: str, k: int, seed: int) -> DataFrame:
     return rows.withColumn("fold", F.conv(F.substring(order_key(group_col, seed), 1, 8), 16, 10).cast("long") % k)
 
 
-def growth(ids: DataFrame, labels: DataFrame, id_col: str, label_col: str, sizes: tuple[int, ...], seed: int) -> DataFrame:
-    """(n, labels seen, labels seen twice) among the first n records in seeded order."""
-    first = ids.orderBy(order_key(id_col, seed), id_col).limit(max(sizes))
-    place = F.row_number().over(Window.orderBy(order_key(id_col, seed), id_col))  # max(sizes) rows at most
-    seen = labels.select(id_col, label_col).distinct().join(F.broadcast(first.withColumn("__p", place)), id_col)
-    two = seen.groupBy(label_col).agg(F.min("__p").alias("a"), F.get(F.sort_array(F.collect_set("__p")), 1).alias("b"))
-    each = two.select("a", "b", F.explode(F.array(*map(F.lit, sizes))).alias("n"))
-    return each.groupBy("n").agg(F.count_if(F.col("a") <= F.col("n")).alias("labels"), F.count_if(F.coalesce(F.col("b") <= F.col("n"), F.lit(False))).alias("twice"))
+def growth(ids: DataFrame, labels: DataFrame, id_col: str, label_col: str, seed: int, least: int = 10) -> DataFrame:
+    """(n, labels seen, labels seen in two records) among the first n records in seeded order, for n = all, half, ... of all records.
+
+    Records are numbered without a single task; a label keeps its number of records for each step of n at most.
+    """
+    placed = global_places(ids.select(F.col(id_col).alias("id"), order_key(id_col, seed).alias("h")), ["h", "id"], "p")
+    total = placed.count()
+    sizes = sorted({total >> k for k in range(max(total.bit_length(), 1)) if k == 0 or total >> k >= least})
+    step = F.size(F.filter(F.array(*map(F.lit, sizes)), lambda n: n < F.col("p")))
+    seen = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).distinct().join(placed.select("id", step.alias("step")), "id")
+    steps = seen.groupBy("label", "step").agg(F.count("*").alias("c")).groupBy("label").agg(F.sort_array(F.collect_list(F.struct("step", "c"))).alias("s"))
+    one = F.col("s")[0]["step"]
+    two = F.when(F.col("s")[0]["c"] > 1, one).otherwise(F.get("s", F.lit(1))["step"])
+    each = steps.select(one.alias("one"), two.alias("two")).groupBy("one", "two").agg(F.count("*").alias("c"))
+    rows = each.select("c", "one", "two", F.posexplode(F.array(*(F.lit(n).cast("long") for n in sizes))).alias("k", "n"))
+    within = lambda c: F.sum(F.when(F.col(c) <= F.col("k"), F.col("c")).otherwise(0))
+    return rows.groupBy("n").agg(within("one").alias("labels"), within("two").alias("twice"))

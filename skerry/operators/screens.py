@@ -68,6 +68,21 @@ def growth_verdict(curve: DataFrame) -> DataFrame:
     return curve.agg(slope.alias("alpha")).withColumn("verdict", F.when(F.col("alpha") < 0.15, "go").when(F.col("alpha") < 0.6, "marginal").otherwise("no go"))
 
 
+def nested_r2(rows: DataFrame, place: str, shares: list[float], x: str, y: str) -> DataFrame:
+    """(m, r2) of the line of y on x over the rows whose place in [0, 1) is below each share.
+
+    A row is summed in the first share that holds it; shares then add up the sums of those before.
+    """
+    first = F.array_min(F.filter(F.array(*map(F.lit, shares)), lambda s: F.col(place) < s))
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    parts = {"m": F.lit(1), "sx": a, "sy": b, "sxx": a * a, "sxy": a * b, "syy": b * b}
+    sums = rows.where(a.isNotNull() & b.isNotNull()).groupBy(first.alias("share")).agg(*(F.sum(v).alias(k) for k, v in parts.items())).where("share IS NOT NULL")
+    upto = sums.select(*(F.sum(k).over(Window.orderBy("share")).alias(k) for k in parts))  # one row a share
+    m = F.col("m")
+    between = lambda p, u, v: m * F.col(p) - F.col(u) * F.col(v)
+    return upto.select("m", (F.pow(between("sxy", "sx", "sy"), 2) / (between("sxx", "sx", "sx") * between("syy", "sy", "sy"))).alias("r2"))
+
+
 def curve_verdict(curve: DataFrame) -> DataFrame:
     """(m, r2) with the gain for each doubling since the size before; climbing above 0.02."""
     w = Window.orderBy("m")  # one row a size

@@ -198,11 +198,11 @@ def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @both("""WITH w AS (SELECT md5('7:' || doc_id) AS h, doc_id, unnest(list_distinct(string_split(text, ' '))) AS label FROM documents), d AS (SELECT doc_id, row_number() OVER (ORDER BY md5('7:' || doc_id), doc_id) AS place FROM documents),
-  o AS (SELECT label, place, row_number() OVER (PARTITION BY label ORDER BY place) AS k FROM w JOIN d USING (doc_id)), n AS (SELECT unnest([10, 30, 100])::INTEGER AS n) SELECT n, count_if(k = 1) AS labels, count_if(k = 2) AS twice FROM n JOIN o ON place <= n GROUP BY n""")
+  o AS (SELECT label, place, row_number() OVER (PARTITION BY label ORDER BY place) AS k FROM w JOIN d USING (doc_id)), n AS (SELECT DISTINCT t >> k AS n FROM (SELECT count(*) AS t FROM documents) CROSS JOIN (SELECT unnest(range(0, 60)) AS k) WHERE k = 0 OR t >> k >= 10) SELECT n, count_if(k = 1) AS labels, count_if(k = 2) AS twice FROM n JOIN o ON place <= n GROUP BY n""")
 def nested_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("label"))
-    return sampling.growth(docs.select("doc_id"), labels, "doc_id", "label", (10, 30, 100), 7)
+    return sampling.growth(docs.select("doc_id"), labels, "doc_id", "label", 7)
 
 
 @both("""WITH h AS (SELECT date_trunc('hour', ts) AS t, avg(value) AS v FROM events GROUP BY 1) SELECT t, round(quantile_cont(v, 0.5) OVER (ORDER BY t ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS rolling,

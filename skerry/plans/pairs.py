@@ -45,21 +45,21 @@ W2 = lambda t: f"(CASE WHEN {t} < 1 THEN power(1 - {t}, 4) * (4 * {t} + 1) ELSE
 
 @both(f"WITH {D} SELECT cat, count(*) AS nnz, round(sum({W2('d / 1.3::DOUBLE')}), 6) AS mass, round(min(d), 6) AS dmin FROM d WHERE d < 1.3 GROUP BY cat")
 def gram_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pairs.category_pairs(points(spark, sf_dir), WHOLE).where("d_z < 1.3")
+    p = pairs.category_pairs(points(spark, sf_dir), WHOLE, within={"z": 1.3})
     k = kernels.wendland_c2(kernels.scaled(F.col("d_z"), 1.3))
     return p.groupBy("cat").agg(F.count("*").alias("nnz"), F.round(F.sum(k), 6).alias("mass"), F.round(F.min("d_z"), 6).alias("dmin"))
 
 
 @both(f"WITH {D} SELECT cat, count(*) AS nnz, round(sum(0.6 * {W2('da / 0.95::DOUBLE')} + 0.4 * {W2('db / 0.9::DOUBLE')}), 6) AS mass FROM d WHERE da < 0.95 OR db < 0.9 GROUP BY cat")
 def gram_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pairs.category_pairs(points(spark, sf_dir), CHANNELS).where(pairs.any_channel({"a": 0.95, "b": 0.9}))
+    p = pairs.category_pairs(points(spark, sf_dir), CHANNELS, within={"a": 0.95, "b": 0.9}, every=False)
     k = kernels.additive([(0.6, F.col("d_a"), 0.95), (0.4, F.col("d_b"), 0.9)])
     return p.groupBy("cat").agg(F.count("*").alias("nnz"), F.round(F.sum(k), 6).alias("mass"))
 
 
 @both(f"WITH {D} SELECT cat, count(*) AS nnz, round(sum(2 * {W2('da / 1.1::DOUBLE')} * {W2('db / 1.1::DOUBLE')}), 6) AS mass FROM d WHERE da < 1.1 AND db < 1.1 GROUP BY cat")
 def gram_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pairs.category_pairs(points(spark, sf_dir), CHANNELS).where(pairs.every_channel({"a": 1.1, "b": 1.1}))
+    p = pairs.category_pairs(points(spark, sf_dir), CHANNELS, within={"a": 1.1, "b": 1.1})
     k = kernels.product(2.0, [(F.col("d_a"), 1.1), (F.col("d_b"), 1.1)])
     return p.groupBy("cat").agg(F.count("*").alias("nnz"), F.round(F.sum(k), 6).alias("mass"))
 
@@ -107,7 +107,7 @@ def kernel_box_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @both(f"""WITH {D}, k AS (SELECT i, j, {W2('d / 1.3::DOUBLE')} AS k FROM d WHERE d < 1.3) SELECT i, j, round(sqrt(2 - 2 * k), 6) AS kd FROM k""")
 def kernel_to_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pairs.category_pairs(points(spark, sf_dir), WHOLE).where("d_z < 1.3")
+    p = pairs.category_pairs(points(spark, sf_dir), WHOLE, within={"z": 1.3})
     one = F.lit(1.0)
     return p.select("i", "j", F.round(kernels.kernel_distance(one, one, kernels.wendland_c2(kernels.scaled(F.col("d_z"), 1.3))), 6).alias("kd"))
 
@@ -132,8 +132,7 @@ def nn_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @both(f"""WITH {N}, c AS (SELECT query_id, count_if(d < 1.0) AS c0, count_if(d < 1.2) AS c1, count_if(d < 1.4) AS c2 FROM n WHERE ql = cl GROUP BY query_id)
   SELECT round(quantile_cont(c0::DOUBLE, 0.5), 6) AS m0, round(quantile_cont(c1::DOUBLE, 0.5), 6) AS m1, round(quantile_cont(c2::DOUBLE, 0.5), 6) AS m2, max(c2) AS most, count_if(c1 = 0) AS isolated FROM c""")
 def radius_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pairs.symmetric(pairs.category_pairs(points(spark, sf_dir), WHOLE))
-    c = p.groupBy("i").agg(*(F.count_if(F.col("d_z") < r).alias(f"c{k}") for k, r in enumerate((1.0, 1.2, 1.4))))
+    c = pairs.neighbour_counts(points(spark, sf_dir), [1.0, 1.2, 1.4])
     return c.agg(*(F.round(F.expr(f"percentile(c{k}, 0.5)"), 6).alias(f"m{k}") for k in range(3)), F.max("c2").alias("most"), F.count_if(F.col("c1") == 0).alias("isolated"))
 
 
@@ -164,7 +163,7 @@ def sparsity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
     n = p.agg(F.count("*").alias("n"))
     radii = F.explode(F.array(*(F.lit(r) for r in (1.1, 1.2, 1.3, 1.35))))
-    c = pairs.category_pairs(p, WHOLE).select("d_z", radii.alias("radius")).groupBy("radius").agg(F.count_if(F.col("d_z") < F.col("radius")).alias("pairs"))
+    c = pairs.category_pairs(p, WHOLE, within={"z": 1.35}).select("d_z", radii.alias("radius")).groupBy("radius").agg(F.count_if(F.col("d_z") < F.col("radius")).alias("pairs"))
     nnz = 2 * F.col("pairs") + F.col("n")
     return c.withColumn("n", n.scalar()).select("radius", "pairs", F.round(nnz / (F.col("n").cast("double") * F.col("n")), 9).alias("density"), (12 * nnz).alias("csr_bytes"))
 

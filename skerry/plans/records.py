@@ -199,11 +199,24 @@ def coulomb_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s_.select("gidx", F.posexplode("spectrum").alias("place", "value")).withColumn("value", F.round("value", 6))
 
 
-@both("""WITH u AS (SELECT page_id, list_filter(string_split(regexp_extract(url, '://([^?#]*)', 1), '/'), lambda x: x <> '') AS p FROM pages), d AS (SELECT page_id, CASE WHEN contains(p[-1], '.') THEN p[:-2] ELSE p END AS d FROM u)
-  SELECT page_id, coalesce(d[1], '') AS top, coalesce(d[2], '') AS "group", coalesce(d[-1], '') AS job, regexp_replace(coalesce(d[-1], ''), '_\\d+$', '') AS family, -1 AS step FROM d""")
+@both(r"""WITH u AS (SELECT page_id AS id, page_id % 3 - 1 AS q, page_id % 2 + 1 AS s, regexp_extract(url, '://([^?#]*)', 1) AS p FROM pages),
+  w AS (SELECT *, CASE id % 5 WHEN 0 THEN 'trans1x/' || p || '/t1x_rxn' || id || '_7_1' WHEN 1 THEN p || '/mol' || id || '_' || q || '_' || s WHEN 2 THEN p || '/mol' || id || '_' || q || '_' || s || '_12/step' || id || '/out.tar.zst'
+        WHEN 3 THEN 'ml_mo/x/mo_md_a_' || id || '_0_1' ELSE p END AS src FROM u),
+  l AS (SELECT *, list_filter(string_split(src, '/'), lambda x: x <> '') AS a FROM w), f AS (SELECT *, CASE WHEN contains(a[-1], '.') THEN a[:-2] ELSE a END AS d FROM l),
+  r AS (SELECT *, CASE WHEN regexp_matches(d[-1], '^step\d+$') THEN substr(d[-1], 5)::INTEGER ELSE -1 END AS step FROM f), e AS (SELECT *, CASE WHEN step >= 0 THEN d[:-2] ELSE d END AS e, '_' || q || '_' || s AS tail FROM r),
+  j AS (SELECT *, coalesce(e[1], '') AS top, array_to_string(e[:-2], '/') AS g, coalesce(e[-1], '') AS job, regexp_replace(coalesce(e[-1], ''), '_\d+$', '') AS bare FROM e)
+  SELECT id AS page_id, top, CASE WHEN len(e) > 1 THEN g ELSE '' END AS "group", job, step, CASE WHEN top = '' THEN '' ELSE top || '/' || CASE WHEN top = 'trans1x' AND regexp_matches(job, '^t1x_rxn\d+_') THEN regexp_extract(job, '^(t1x_rxn\d+)_', 1)
+    WHEN top = 'ml_mo' AND regexp_matches(job, '^mo_md_\w+?_\d+_') THEN regexp_extract(job, '^(mo_md_\w+?_\d+)_', 1) WHEN ends_with(job, tail) AND len(job) > len(tail) THEN job[:len(job) - len(tail)]
+    WHEN ends_with(bare, tail) AND len(bare) > len(tail) THEN bare[:len(bare) - len(tail)] ELSE job END END AS family FROM j""")
 def source_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.regexp_extract("url", "://([^?#]*)", 1)
-    return table(spark, sf_dir, "pages").select("page_id", F.inline(F.array(paths.parsed(path))))
+    """Paths of pages, with jobs of each rule's form made from their ids."""
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.regexp_extract("url", "://([^?#]*)", 1).alias("p"))
+    rows = rows.withColumns({"q": F.col("id") % 3 - 1, "s": F.col("id") % 2 + 1})
+    mol = F.concat("p", F.lit("/mol"), "id", F.lit("_"), "q", F.lit("_"), "s")
+    k = F.col("id") % 5
+    source = F.when(k == 0, F.concat(F.lit("trans1x/"), "p", F.lit("/t1x_rxn"), "id", F.lit("_7_1"))).when(k == 1, mol)
+    source = source.when(k == 2, F.concat(mol, F.lit("_12/step"), "id", F.lit("/out.tar.zst"))).when(k == 3, F.concat(F.lit("ml_mo/x/mo_md_a_"), "id", F.lit("_0_1"))).otherwise(F.col("p"))
+    return rows.select(F.col("id").alias("page_id"), F.inline(F.array(paths.parsed(source, F.col("q"), F.col("s")))))
 
 
 @both("""WITH x AS (SELECT doc_id, regexp_extract(lower(text), '(akia[a-z0-9]+|password)', 1) AS hit FROM documents) SELECT hit <> '' AS found, count(*) AS n FROM x GROUP BY 1""")

@@ -77,13 +77,22 @@ def test_graph_walks_match_known_molecules(spark):
     assert by[1, 2] == by[2, 2] != by[0, 2] and len(by) == 9
 
 
-def test_path_rules(spark):
+def test_source_paths(spark):
     cases = {
-        "data/set/mol_12_0_1/step7/orca.out": ("data", "set", "mol_12_0_1", "mol_12", 7),
-        "data/set/job_3/": ("data", "set", "job_3", "job", -1),
-        "": ("", "", "", "", -1),
-        None: ("", "", "", "", -1),
-        "single": ("single", "", "single", "single", -1),
+        ("", 0, 1): ("", "", "", "", -1),
+        (None, 0, 1): ("", "", "", "", -1),
+        ("x/orca.tar.zst", 0, 1): ("x", "", "x", "x/x", -1),
+        ("top/sub/deep/mol_0_1/orca.tar.zst", 0, 1): ("top", "top/sub/deep", "mol_0_1", "top/mol", -1),
+        ("top/sub/mol_-1_2/step12", -1, 2): ("top", "top/sub", "mol_-1_2", "top/mol", 12),
+        ("top/mol_0_1_44", 0, 1): ("top", "top", "mol_0_1_44", "top/mol", -1),
+        ("top/mol_0_1", 1, 2): ("top", "top", "mol_0_1", "top/mol_0_1", -1),
+        ("top/mol_17", 0, 1): ("top", "top", "mol_17", "top/mol_17", -1),
+        ("top/_0_1", 0, 1): ("top", "top", "_0_1", "top/_0_1", -1),
+        ("orbnet_denali/a/orbnet_C12_conformers_ab12_3_0_1", 0, 1): ("orbnet_denali", "orbnet_denali/a", "orbnet_C12_conformers_ab12_3_0_1", "orbnet_denali/orbnet_C12", -1),
+        ("trans1x/t1x_rxn0444_1154_551", 0, 1): ("trans1x", "trans1x", "t1x_rxn0444_1154_551", "trans1x/t1x_rxn0444", -1),
+        ("ml_mo/mo_md_mace_mp_43279_0_1_1_406", 0, 1): ("ml_mo", "ml_mo", "mo_md_mace_mp_43279_0_1_1_406", "ml_mo/mo_md_mace_mp_43279", -1),
+        ("trans1x/other_0_1", 0, 1): ("trans1x", "trans1x", "other_0_1", "trans1x/other", -1),
+        ("step3", 0, 1): ("", "", "", "", 3),
     }
-    rows = spark.createDataFrame([(k,) for k in cases], "p string").select("p", paths.parsed(F.col("p")).alias("v")).collect()
-    assert {r.p: tuple(r.v) for r in rows} == cases
+    rows = spark.createDataFrame(list(cases), "p string, q int, s int").select("p", "q", "s", paths.parsed(F.col("p"), F.col("q"), F.col("s")).alias("v")).collect()
+    assert {(r.p, r.q, r.s): tuple(r.v) for r in rows} == cases

@@ -53,6 +53,32 @@ def dipole(atoms: Column) -> Column:
     return F.sqrt(x * x + y * y + z * z)
 
 
+def quadrupole(atoms: Column) -> Column:
+    """Norm of the traceless charge-weighted second moments about the centroid, for each atom."""
+    centre = F.struct(atoms.alias("a"), *(mean_of(_axis(atoms, c)).alias(c) for c in ("px", "py", "pz")))
+
+    def entry(s: Column, u: str, v: str) -> Column:
+        def one(a: Column) -> Column:
+            x, y, z = (a[c] - s[c] for c in ("px", "py", "pz"))
+            p, r = {"px": x, "py": y, "pz": z}[u], {"px": x, "py": y, "pz": z}[v]
+            return a["q"] * (3 * p * r - (x * x + y * y + z * z if u == v else F.lit(0.0)))
+
+        return fold_sum(F.transform(s["a"], one))
+
+    def size(s: Column) -> Column:
+        square = lambda u, v: F.pow(entry(s, u, v), 2)
+        diagonal = square("px", "px") + square("py", "py") + square("pz", "pz")
+        return F.sqrt(diagonal + 2 * (square("px", "py") + square("px", "pz") + square("py", "pz"))) / F.size(s["a"])
+
+    return F.transform(F.array(centre), size)[0]
+
+
+def norm_summary(vectors: Column) -> dict[str, Column]:
+    """Largest and root mean squared norm of an array of vectors."""
+    squares = F.transform(vectors, lambda v: fold_sum(F.transform(v, lambda x: x * x)))
+    return {"fmax": F.sqrt(F.array_max(squares)), "frms": F.sqrt(mean_of(squares))}
+
+
 def charge_summary(atoms: Column) -> dict[str, Column]:
     q = F.transform(atoms, lambda a: a["q"])
     return {"q_min": F.array_min(q), "q_max": F.array_max(q), "q_rms": F.sqrt(mean_of(F.transform(q, lambda v: v * v)))}

@@ -150,33 +150,36 @@ def tiled_range_join(points: DataFrame, radius: float, id_col: str = "vec_id", v
     return found.where("i < j")
 
 
-def nearest(points: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", cat_col: str | None = "label", queries: Column | None = None, candidates: Column | None = None, tile: int = TILE_ROWS) -> DataFrame:
+def nearest(points: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", cat_col: str | None = "label", queries: Column | None = None, candidates: Column | None = None, tile: int = TILE_ROWS, apart: Column | None = None) -> DataFrame:
     """(query_id, rank, neighbour_id, d): the k nearest other rows (of the category, if one is named), ties by id.
 
-    Rows are dealt into tiles of bounded size for each category; each pair of tiles is one group.
+    With `apart`, rows of the query's own value of it are no candidates. Rows are dealt into tiles of bounded size for each category; each pair of tiles is one group.
     """
     cat = F.lit(0) if cat_col is None else F.col(cat_col)
-    asks = F.lit(True) if queries is None else queries
+    parted, asks = apart is not None, F.lit(True) if queries is None else queries
     held = F.lit(True) if candidates is None else candidates
-    rows = points.select(F.col(id_col).cast("long").alias("id"), cat.alias("cat"), F.col(vector_col).cast("array<double>").alias("z"), asks.alias("asks"), held.alias("held"))
+    rows = points.select(F.col(id_col).cast("long").alias("id"), cat.alias("cat"), F.col(vector_col).cast("array<double>").alias("z"), asks.alias("asks"), held.alias("held"), (F.xxhash64("id") if apart is None else F.xxhash64(apart)).alias("own_group"))
     rows = rows.where("id IS NOT NULL AND z IS NOT NULL")
     tiles = rows.groupBy("cat").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    dealt = rows.join(F.broadcast(tiles), "cat").withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    dealt = rows.join(tiles, "cat").withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    left = dealt.where("asks").select("cat", F.col("own").alias("q"), every.alias("c"), "id", "z")
-    right = dealt.where("held").select(F.col("cat").alias("cat"), every.alias("q"), F.col("own").alias("c"), F.col("id").alias("id"), F.col("z").alias("z"))
+    left = dealt.where("asks").select("cat", F.col("own").alias("q"), every.alias("c"), "id", "z", "own_group")
+    right = dealt.where("held").select(F.col("cat").alias("cat"), every.alias("q"), F.col("own").alias("c"), F.col("id").alias("id"), F.col("z").alias("z"), F.col("own_group").alias("own_group"))
 
     def search(a: pa.Table, b: pa.Table) -> pa.Table:
         found: list[tuple[np.ndarray, ...]] = []
         if a.num_rows and b.num_rows:
             qi, ci = a.column("id").to_numpy(), b.column("id").to_numpy()
             x, y = (np.array(t.column("z").to_pylist()) for t in (a, b))
+            qg, cg = a.column("own_group").to_numpy(), b.column("own_group").to_numpy()
             for s in range(0, len(x), 256):
                 d = np.zeros((len(x[s : s + 256]), len(y)))
                 for n in range(x.shape[1]):  # direct differences, dimension by dimension
                     d += (x[s : s + 256, n, None] - y[None, :, n]) ** 2
                 d = np.sqrt(d)
                 d[qi[s : s + 256, None] == ci[None, :]] = np.inf
+                if parted:
+                    d[qg[s : s + 256, None] == cg[None, :]] = np.inf
                 for r in range(len(d)):
                     near = np.lexsort((ci, d[r]))[:k]
                     near = near[np.isfinite(d[r][near])]
@@ -189,6 +192,11 @@ def nearest(points: DataFrame, k: int, id_col: str = "vec_id", vector_col: str =
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbour_id", "d")
 
 
+def nearest_outside(points: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", cat_col: str = "label") -> DataFrame:
+    """(query_id, rank, neighbour_id, d): the k nearest rows of other categories."""
+    return nearest(points, k, id_col, vector_col, None, apart=F.col(cat_col))
+
+
 def local_scales(neighbours: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(id, sigma): distance of the k-th neighbour; rows with fewer take the median of the others."""
     kth = neighbours.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("d").alias("sigma"))

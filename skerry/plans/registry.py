@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skerry.plans import census, models, pairs, records, screens, spatial
+from skerry.plans import assemblies, census, models, pairs, records, screens, spatial
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (pairs, census, spatial, records, models, screens):
+for module in (pairs, census, spatial, records, models, screens, assemblies):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL

@@ -111,7 +111,7 @@ def _blocks(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
         return {}
     vectors = rows.column("vector").chunk(0)
     ids, sizes = rows.column("id").to_numpy(), vectors.value_lengths().to_numpy(zero_copy_only=False)
-    flat, ends = vectors.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
+    flat, ends = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(sizes)
     out = {}
     for n in np.unique(sizes):
         at = np.flatnonzero(sizes == n)
@@ -123,7 +123,7 @@ def _blocks(rows: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest rows of every query row."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vector"))).groupBy("id", "vector").agg(F.max("asks").alias("asks"))
     sizes = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
     c_groups = max(1, -(-sizes["n"] // min(MOST_ROWS, max(LEAST_ROWS, sizes["n"] // GROUPS))))

@@ -102,10 +102,10 @@ def test_posterior_equals_one_dense_masked_process(spark, product):
     assert all(r.relative_least > -1e-8 and r.diagonal_error < 1e-12 for r in gp.extremes(df, CH, product).collect())
 
 
-def test_blocks_have_a_bound_and_empty_tables_pass(spark):
+def test_larger_categories_agree_and_empty_tables_pass(spark):
     _, _, _, df = frame(spark)
-    with pytest.raises(ValueError):
-        gp.posterior(df, CH, 0.2, most=20)
+    one, tiles = ({r.id: (r.mu, r.var_obs) for r in gp.posterior(df, CH, 0.2, most=most, tile=20).collect()} for most in (4000, 20))
+    assert one.keys() == tiles.keys() and all(np.allclose(one[i], tiles[i]) for i in one)
     assert gp.posterior(df.limit(0), CH, 0.2).count() == 0
 
 

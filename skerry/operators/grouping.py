@@ -120,3 +120,18 @@ def scaled(rows: DataFrame, columns: list[str], how: str, fit: Column | None = N
         width = F.when(F.col("fitted.s") == 0, F.lit(1.0)).otherwise(root(F.col("fitted.s")))
         rows = rows.withColumn(c, (F.col(c) - F.col("fitted.m")) / width).drop("fitted")
     return rows
+
+
+def repeats(df: DataFrame, key: str) -> DataFrame:
+    """One row: the distinct values of a column, the share of rows whose value occurs twice or more, the largest count.
+
+    A null is a value like any other; without rows there are 0 values and the rest is null.
+    """
+    c = df.groupBy(key).agg(F.count("*").alias("n"))
+    return c.agg(F.count("*").alias("values"), (F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("repeated_share"), F.max("n").alias("largest"))
+
+
+def largest_counts(df: DataFrame, key: str, top: int) -> DataFrame:
+    """(rank, n) of the `top` most frequent values; only these are ranked in one task."""
+    c = df.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(top)
+    return c.select(F.row_number().over(Window.orderBy(F.desc("n"))).alias("rank"), "n")

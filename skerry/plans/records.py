@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions import paths
 from skerry.functions import structures as s
-from skerry.operators import graphs, spectra
+from skerry.operators import graphs, grouping, spectra
 from skerry.plans.census import rounded
 from skerry.session import table
 
@@ -59,6 +59,20 @@ def formula_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structures(spark, sf_dir).select("gidx", s.formula(F.col("atoms")).alias("formula"))
 
 
+FORMULAS = f"""WITH {A}, c AS (SELECT gidx, z, count(*) AS n FROM a GROUP BY 1, 2), f AS (SELECT gidx, string_agg(z || 'x' || n, '_' ORDER BY z) AS formula FROM c GROUP BY gidx), k AS (SELECT formula, count(*) AS n FROM f GROUP BY formula)"""
+
+
+@both(f"{FORMULAS} SELECT count(*) AS values, round(sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n)::DOUBLE, 6) AS repeated_share, max(n) AS largest FROM k")
+def composition_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(grouping.repeats(formula_key(spark, sf_dir), "formula"))
+
+
+@both(f"{FORMULAS}, r AS (SELECT n, row_number() OVER (ORDER BY n DESC)::INTEGER AS rank FROM k) SELECT rank, n FROM r WHERE rank <= 200")
+def composition_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the 200 most frequent formulas."""
+    return grouping.largest_counts(formula_key(spark, sf_dir), "formula", 200)
+
+
 @both(f"""WITH {A}, m AS (SELECT gidx, avg(px) AS mx, avg(py) AS my, avg(pz) AS mz, count(*) AS n FROM a GROUP BY gidx) SELECT gidx, round(sqrt(var_pop(px) + var_pop(py) + var_pop(pz)), 6) AS rg,
   round(sqrt(power(sum(q * (px - mx)), 2) + power(sum(q * (py - my)), 2) + power(sum(q * (pz - mz)), 2)), 6) AS dipole, round(min(q), 6) + 0 AS q_min, round(max(q), 6) + 0 AS q_max, round(sqrt(avg(q * q)), 6) AS q_rms,
   round(coalesce(avg(q) FILTER (z = 6), 0), 6) + 0 AS c_mean, round(coalesce(stddev_pop(q) FILTER (z = 6), 0), 6) AS c_std, bool_and(z IN (1, 6)) AS hydrocarbon FROM a JOIN m USING (gidx) GROUP BY gidx""")

@@ -71,3 +71,12 @@ def test_strain_reference_is_the_mode(spark):
     records = spark.createDataFrame(rows, "gidx long, za int, zb int, da int, db int, r double")
     got = strain.reference(records, ["za", "zb", "da", "db"], "r", 0.4, 3.5, 0.005).collect()
     assert [(r["za"], r["zb"], r["n"]) for r in got] == [(1, 8, 33)] and got[0]["mode"] == pytest.approx(0.9625)
+
+
+def test_repeats_with_nulls_and_no_rows(spark):
+    from skerry.operators import grouping
+
+    df = spark.createDataFrame([("a",), ("a",), (None,), (None,), (None,), ("b",)], "k string")
+    assert grouping.repeats(df, "k").first().asDict() == {"values": 3, "repeated_share": 5 / 6, "largest": 3}
+    assert [tuple(r) for r in grouping.largest_counts(df, "k", 2).orderBy("rank").collect()] == [(1, 3), (2, 2)]
+    assert grouping.repeats(df.limit(0), "k").first().asDict() == {"values": 0, "repeated_share": None, "largest": None}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import mixing, near_dup, nearest, packing, quality_model, quality_rules, secret_scan, token_files, toxicity, url_filter
+from skerry.llm import lexical_search, mixing, near_dup, nearest, packing, prefix_trie, quality_model, quality_rules, secret_scan, token_files, toxicity, url_filter
 from skerry.llm.labelled import remainder
 from skerry.session import shared_folder, table
 
@@ -58,6 +58,16 @@ def op10_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.linked(table(spark, sf_dir, "documents"), radius=3)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.crc32(F.col("c").cast("string").cast("binary")) % 6
+    nodes = prefix_trie.trie(table(spark, sf_dir, "conversations"), base=F.col("c") - F.col("c") % 100, head=head, most_head=5)
+    return nodes.drop("position", "subtree_end")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_secret_scan": op2_secret_scan,
@@ -69,9 +79,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
     "op10_simhash_near_dup": op10_simhash_near_dup,
+    "op11_lexical_search": op11_lexical_search,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_quality_rules": quality_rules.ORACLE_SQL,
     "op6_nearest": nearest.ORACLE_SQL,
     "op9_url_filter": url_filter.ORACLE_SQL,
+    "op11_lexical_search": lexical_search.ORACLE_SQL,
+    "op13_prefix_trie": prefix_trie.ORACLE_SQL,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import lexical_search, mixing, near_dup, nearest, packing, prefix_trie, quality_model, quality_rules, secret_scan, token_files, toxicity, url_filter
+from skerry.llm import lexical_search, lm_scoring, mixing, near_dup, nearest, packing, prefix_trie, quality_model, quality_rules, secret_scan, token_files, toxicity, url_filter
 from skerry.llm.labelled import remainder
 from skerry.session import shared_folder, table
 
@@ -62,6 +62,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scored(table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 7) == 2)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.crc32(F.col("c").cast("string").cast("binary")) % 6
     nodes = prefix_trie.trie(table(spark, sf_dir, "conversations"), base=F.col("c") - F.col("c") % 100, head=head, most_head=5)
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_simhash_near_dup": op10_simhash_near_dup,
     "op11_lexical_search": op11_lexical_search,
+    "op12_lm_scoring": op12_lm_scoring,
     "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLE_SQL: dict[str, str] = {

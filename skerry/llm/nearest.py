@@ -4,7 +4,8 @@ Queries and vectors are dealt into groups of bounded size; each pair of groups i
 become int8 codes with a scale and the exact norm of what the codes leave out. A tile product of codes (exact in
 float32 while 127^2 times the dimension stays below 2^24) gives every distance up to the two norms. A candidate whose
 lower bound exceeds the k-th smallest upper bound cannot be among the k nearest; all others are recomputed in double
-precision from the original vectors and merged by heaps. The result is therefore exact, not only likely.
+precision from the original vectors and merged by heaps. The result is therefore exact, not only likely. Where bounds
+leave the range of doubles, everything is recomputed; a distance beyond it is infinite and ranks last.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part; vectors of
 another dimension are no candidates; candidates with the query's own id are its own row; repeated equal rows count
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAST_ROWS, MOST_ROWS, GROUPS = 4_096, 65_536, 48
+LEAST_ROWS, MOST_ROWS, MOST_BYTES, GROUPS = 4_096, 65_536, 128 << 20, 48
 TILE_Q, TILE_C = 512, 4_096
 EXACT_PAIRS = 1 << 17
 
@@ -38,26 +39,32 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     scale[scale == 0] = 1.0  # components too small to divide: all codes are zero
     codes = np.clip(np.rint(x / scale[:, None]), -127, 127).astype(np.int8)
     rest = x - codes * scale[:, None]
-    return codes, scale, np.sqrt((rest * rest).sum(axis=1))
+    with np.errstate(over="ignore"):
+        return codes, scale, np.sqrt((rest * rest).sum(axis=1))
 
 
 def bounds(q: tuple, c: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of the distances of all pairs of two quantised blocks."""
+    """Lower and upper bounds of the distances of all pairs of two quantised blocks; none where they overflow."""
     (qc, qs, qe), (cc, cs, ce) = q, c
     kind = np.float32 if 127 * 127 * qc.shape[1] < 1 << 24 else np.float64
     product = (qc.astype(kind) @ cc.astype(kind).T).astype(np.float64)
     square = lambda codes, scale: scale * scale * (codes.astype(np.int64) ** 2).sum(axis=1)
-    d2 = square(qc, qs)[:, None] + square(cc, cs)[None, :] - 2 * product * qs[:, None] * cs[None, :]
-    near = np.sqrt(np.maximum(d2, 0))
-    slack = (qe[:, None] + ce[None, :]) * (1 + 1e-9) + 1e-7 * (near + qs[:, None] + cs[None, :])
-    return near - slack, near + slack
+    with np.errstate(over="ignore", invalid="ignore"):
+        d2 = square(qc, qs)[:, None] + square(cc, cs)[None, :] - 2 * product * qs[:, None] * cs[None, :]
+        near = np.sqrt(np.maximum(d2, 0))
+        slack = (qe[:, None] + ce[None, :]) * (1 + 1e-9) + 1e-7 * (near + qs[:, None] + cs[None, :])
+        low, high = near - slack, near + slack
+    known = np.isfinite(near) & np.isfinite(slack)
+    low[~known], high[~known] = -np.inf, np.inf
+    return low, high
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances of paired rows, components added in order."""
     total = np.zeros(len(a))
-    for x, y in zip(a.T, b.T):
-        total += (x - y) ** 2
+    with np.errstate(over="ignore"):  # a distance beyond the range of doubles is infinite
+        for x, y in zip(a.T, b.T):
+            total += (x - y) ** 2
     return np.sqrt(total)
 
 
@@ -125,9 +132,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     """query_id, rank, vec_id and score of the k nearest rows of every query row."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("vector"))).groupBy("id", "vector").agg(F.max("asks").alias("asks"))
-    sizes = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
-    c_groups = max(1, -(-sizes["n"] // min(MOST_ROWS, max(LEAST_ROWS, sizes["n"] // GROUPS))))
-    q_groups = max(1, -(-sizes["q"] // MOST_ROWS))
+    sizes = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q"), F.max(F.size("vector")).alias("width")).first()
+    most = max(1, min(MOST_ROWS, MOST_BYTES // (8 * (sizes["width"] or 1))))
+    c_groups = max(1, -(-sizes["n"] // min(most, max(LEAST_ROWS, sizes["n"] // GROUPS))))
+    q_groups = max(1, -(-sizes["q"] // most))
     dealt = lambda n: F.pmod(F.xxhash64("id", "vector"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     candidates = rows.select("id", "vector", dealt(c_groups).alias("c"), every(q_groups).alias("q"))

@@ -60,3 +60,30 @@ def test_bounds_hold():
         true = np.sqrt(((a[:, None] - b[None]) ** 2).sum(-1))
         assert (low <= true).all() and (true <= high).all()
         assert (high - low < 0.3 * true).mean() > 0.5
+
+
+def test_components_near_overflow_and_underflow(spark, monkeypatch):
+    rng, kind = random.Random(1), "vec_id long, embedding array<double>, score string, rank int, c int"
+    vec = lambda width: [rng.gauss(0, 1) * width for _ in range(6)]
+    rows = [(i, vec(rng.choice([1.0, 1e160, 1e155, 1e-170, 1e-160]))) for i in range(220)]
+
+    def search(k):
+        df = spark.createDataFrame([(i, v, "s", 0, 1) for i, v in rows], kind).repartition(3)
+        return sorted(tuple(r) for r in n.nearest(df, F.col("vec_id") % 100 == 0, k).collect())
+
+    want = {}
+    for k in (10, 150):
+        want[k] = []
+        for q, v in rows[::100]:
+            found = []
+            for j, w in rows:
+                if j != q:
+                    total = 0.0
+                    for a, b in zip(v, w):
+                        total += (a - b) * (a - b)
+                    found.append((math.sqrt(total), j))
+            want[k] += [(q, r + 1, j, s) for r, (s, j) in enumerate(sorted(found)[:k])]
+        assert search(k) == sorted(want[k])
+    monkeypatch.setattr(n, "MOST_BYTES", 6 * 8 * 20)  # groups of twenty rows
+    monkeypatch.setattr(n, "LEAST_ROWS", 1)
+    assert search(10) == sorted(want[10])

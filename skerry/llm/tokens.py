@@ -1,8 +1,8 @@
 """Exact BPE encoding of whole texts by way of short chunks whose ids are kept.
 
 A chunk ends only where every pre-tokenizer match must end, so that the ids of a text are those of its chunks,
-end to end. Chunks repeat far more than texts do: each distinct one is encoded once and its ids are kept in a
-cache of bounded size. Texts with blanks outside ASCII are encoded whole, and so are texts that hold the string of
+end to end. Short chunks repeat far more than texts do: their ids are kept in a cache of bounded bytes, which starts
+anew when it is full. Long chunks are encoded each time they come. Texts with blanks outside ASCII are encoded whole, and so are texts that hold the string of
 an added token, if such a string stands for its token.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 from skerry.llm.arrow_text import BLANK, CLASS, LETTER, LOWER, PUNCT, WIDE, as_bytes, per_text, pieces, starts_of
 
-CACHED = 1_000_000
+CACHED_BYTES, LONGEST, ENTRY_BYTES = 64 << 20, 64, 180  # an entry holds a string, a number and its share of a dictionary
 SCHEMES = ("bytes", "words")
 
 
@@ -56,8 +56,18 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.chunks = pa.array([], pa.large_string())
-        self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, self.dtype)
+        self.places: dict[str, int] = {}
+        self.held = 0
+        self.firsts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+        self.chunks = self.used = 0
+
+    @staticmethod
+    def _put(into: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+        """The array with values from `at` on, doubled where it is too short."""
+        if at + len(values) > len(into):
+            into = np.concatenate([into[:at], np.zeros(max(at, len(values)) + len(values), into.dtype)])
+        into[at : at + len(values)] = values
+        return into
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and all ids end to end."""
@@ -66,19 +76,30 @@ class Encoder:
         return lengths, np.fromiter(chain.from_iterable(each), self.dtype, int(lengths.sum()))
 
     def _learn(self, distinct: pa.Array) -> np.ndarray:
-        """Places in the cache of the distinct chunks, of which those not yet there are encoded."""
-        if len(self.chunks) > CACHED:
+        """Places of the distinct chunks in `firsts` and `lengths`; those not yet known are encoded.
+
+        Places of long chunks hold until the next call only: they stand after the kept ones and are written over.
+        """
+        if self.held > CACHED_BYTES:
             self._forget()
-        at = pc.index_in(distinct, value_set=self.chunks)
-        if at.null_count:
-            new = distinct.filter(at.is_null())
-            lengths, flat = self._ids(new.to_pylist())
-            place = pc.cast(at, pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False).copy()
-            place[place < 0] = len(self.chunks) + np.arange(len(new))
-            self.chunks = pa.concat_arrays([self.chunks, new])
-            self.lengths, self.flat = np.append(self.lengths, lengths), np.append(self.flat, flat)
-            return place
-        return at.to_numpy(zero_copy_only=False)
+        texts = distinct.to_pylist()
+        place = np.fromiter(map(self.places.get, texts, repeat(-1)), np.int64, len(texts))
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            sizes = pc.binary_length(distinct).to_numpy(zero_copy_only=False)[missing]
+            missing = missing[np.argsort(sizes > LONGEST, kind="stable")]
+            short = int((sizes <= LONGEST).sum())
+            new = [texts[i] for i in missing.tolist()]
+            lengths, flat = self._ids(new)
+            place[missing] = self.chunks + np.arange(len(new))
+            self.firsts = self._put(self.firsts, self.chunks, self.used + np.cumsum(lengths) - lengths)
+            self.lengths = self._put(self.lengths, self.chunks, lengths)
+            self.flat = self._put(self.flat, self.used, flat)
+            kept = int(lengths[:short].sum())
+            self.places.update(zip(new[:short], range(self.chunks, self.chunks + short)))
+            self.held += int(sizes[sizes <= LONGEST].sum()) + short * ENTRY_BYTES + kept * self.dtype.itemsize
+            self.chunks, self.used = self.chunks + short, self.used + kept
+        return place
 
     def _starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         c = CLASS[data]
@@ -113,11 +134,11 @@ class Encoder:
             data = folded
         chunks = pieces(data, starts).dictionary_encode()
         which = self._learn(chunks.dictionary)[chunks.indices.to_numpy()]
-        lengths, flat = self.lengths, self.flat
-        first = np.cumsum(lengths) - lengths
-        counts = lengths[which]
+        counts = self.lengths[which]
         ends = np.cumsum(counts)
-        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[which] - (ends - counts), counts)]
+        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.firsts[which] - (ends - counts), counts)]
+        if len(self.flat) > 2 * self.used + (1 << 20):  # room that long chunks took
+            self.flat = self.flat[: self.used].copy()
         cuts = np.append(0, ends)[per_text(starts, offsets)]
         out = [ids[a:b] for a, b in zip(cuts, cuts[1:])]
         odd = np.union1d(np.searchsorted(offsets, _odd_blanks(data), side="right") - 1, self._with_added(texts))

@@ -24,16 +24,25 @@ def bonds(atoms: DataFrame, radii: dict[int, float], scale: float = 1.2, default
 
 
 def refine(nodes: DataFrame, edges: DataFrame, depth: int, edge_label: str | None = None) -> DataFrame:
-    """(gidx, i, depth, label) for depths 0 to `depth`: each round hashes a label with its sorted neighbours' labels."""
-    now = nodes.select("gidx", "i", "label")
-    out = now.withColumn("depth", F.lit(0))
-    told = F.col("label") if edge_label is None else F.concat_ws("~", F.col(edge_label).cast("string"), "label")
+    """(gidx, i, depth, label) for depths 0 to `depth`: each round hashes a label with its sorted neighbours' labels.
+
+    A record is a small graph: its nodes and edges come together once, and all rounds are taken inside its row.
+    """
+    own = nodes.groupBy("gidx").agg(F.sort_array(F.collect_list(F.struct("i", "label"))).alias("nodes"))
+    kind = F.lit(None).cast("string") if edge_label is None else F.col(edge_label).cast("string")
+    links = edges.groupBy("gidx").agg(F.collect_list(F.struct("i", "j", kind.alias("kind"))).alias("edges"))
+    places = F.transform("edges", lambda e: F.struct(e["i"].alias("i"), F.array_position(F.col("nodes.i"), e["j"]).alias("at"), e["kind"].alias("kind")))
+    near = F.transform("nodes", lambda n: F.filter("places", lambda e: (e["i"] == n["i"]) & (e["at"] > 0)))
+    rows = own.join(links, "gidx", "left").withColumn("places", F.coalesce(places, F.array())).select("gidx", "nodes", near.alias("near"), F.col("nodes.label").alias("l0"))
+
+    def heard(last: str) -> Column:
+        told = lambda e: F.element_at(last, e["at"].cast("int")) if edge_label is None else F.concat_ws("~", e["kind"], F.element_at(last, e["at"].cast("int")))
+        return F.transform("near", lambda x, k: F.md5(F.concat(F.get(last, k), F.lit("|"), F.array_join(F.array_sort(F.transform(x, told)), ","))))
+
     for k in range(1, depth + 1):
-        heard = edges.join(now.withColumnRenamed("i", "j"), ["gidx", "j"]).groupBy("gidx", "i").agg(F.array_sort(F.collect_list(told)).alias("near"))
-        near = F.coalesce(F.array_join("near", ","), F.lit(""))
-        now = now.join(heard, ["gidx", "i"], "left").select("gidx", "i", F.md5(F.concat("label", F.lit("|"), near)).alias("label"))
-        out = out.unionByName(now.withColumn("depth", F.lit(k)))
-    return out.select("gidx", "i", "depth", "label")
+        rows = rows.withColumn(f"l{k}", heard(f"l{k - 1}"))
+    each = rows.select("gidx", F.col("nodes.i").alias("i"), F.posexplode(F.array(*(f"l{k}" for k in range(depth + 1)))).alias("depth", "label"))
+    return each.select("gidx", "depth", F.inline(F.arrays_zip("i", "label"))).select("gidx", "i", "depth", "label")
 
 
 def multiset_hash(labels: DataFrame) -> DataFrame:

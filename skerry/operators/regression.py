@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -159,34 +159,64 @@ def canonical_correlations(m: Moments, split: int) -> np.ndarray:
     return np.linalg.svd(a.T @ s[:split, split:] @ b, compute_uv=False)
 
 
-def sparse_pls(entries: DataFrame, targets: DataFrame, components: int) -> tuple[dict, dict]:
-    """SIMPLS over a long table (row, col, val) and (row, y), centred implicitly: two products a component.
+@dataclass
+class SparseProjection:
+    """Weights of the columns of a long table (row, col, val), whose mean and width stand beside the values, never in them."""
 
-    Vectors with an entry for each column come to the driver; rows stay distributed. Weights by column, means by column.
+    columns: list
+    mean: np.ndarray
+    width: np.ndarray
+    weights: np.ndarray
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(col, w): the weights over the widths, as arrays by component."""
+        folded = (self.weights / self.width[:, None]).tolist()
+        return spark.createDataFrame(pa.table({"col": pa.array(self.columns), "w": pa.array(folded, pa.list_(pa.float64()))}))
+
+    def scores(self, entries: DataFrame, rows: DataFrame) -> DataFrame:
+        """(row, component, score) of every row, those without entries too; entries of unknown columns are dropped."""
+        offset = ((self.mean / self.width) @ self.weights).tolist()
+        parts = entries.join(self.table(entries.sparkSession), "col").select("row", F.posexplode("w").alias("component", "w"), "val")
+        sums = parts.groupBy("row", "component").agg(F.sum(F.col("val") * F.col("w")).alias("s"))
+        every = rows.select("row", F.posexplode(F.array(*map(F.lit, offset)).cast("array<double>")).alias("component", "offset"))
+        return every.join(sums, ["row", "component"], "left").select("row", "component", (F.coalesce("s", F.lit(0.0)) - F.col("offset")).alias("score"))
+
+
+def sparse_pls(entries: DataFrame, targets: DataFrame, components: int, scaling: str = "pareto") -> SparseProjection:
+    """SIMPLS over a long table (row, col, val) and (row, y), centred and divided by widths implicitly: two products a component.
+
+    Widths are as in `scaled`: the population deviation, its root, or one. The matrix stays sparse, since centring and
+    widths are rank-one corrections of the products. Vectors with an entry for each column come to the driver; the
+    vocabulary bounds them. Rows of targets without entries count as rows of zeros.
     """
+    spark = entries.sparkSession
     n, y_mean = targets.agg(F.count("*"), F.avg("y")).first()
     joined = entries.join(targets, "row")
-    first = {r["col"]: (r["m"], r["c"]) for r in joined.groupBy("col").agg((F.sum("val") / n).alias("m"), F.sum(F.col("val") * (F.col("y") - y_mean)).alias("c")).collect()}
-    columns = sorted(first)
-    mean, c = np.array([first[k][0] for k in columns]), np.array([first[k][1] for k in columns])
-    basis, weights = np.zeros((len(c), 0)), []
-    spark = entries.sparkSession
-    for _ in range(components):
-        if np.linalg.norm(c) < 1e-12:
+    square = F.sum(F.col("val") * F.col("val"))
+    first = joined.groupBy("col").agg(F.sum("val").alias("s"), square.alias("q"), F.sum(F.col("val") * (F.col("y") - F.lit(y_mean))).alias("c")).orderBy("col").toArrow()
+    columns = first.column("col").to_pylist()
+    mean, raw = first.column("s").to_numpy() / (n or 1), first.column("c").to_numpy()
+    std = np.sqrt(np.maximum(first.column("q").to_numpy() / (n or 1) - mean**2, 0))
+    width = {"standard": std, "pareto": np.sqrt(std), "center": np.ones_like(std)}[scaling]
+    width = np.where(width == 0, 1.0, width)
+    c, least = raw / width, 1e-12 * max(1.0, float(np.linalg.norm(raw / width)))
+    known, basis, weights = entries.join(targets.select("row"), "row", "left_semi"), np.zeros((len(columns), 0)), []
+    for _ in range(min(components, len(columns))):
+        if np.linalg.norm(c) < least:
             break
         r = c / np.linalg.norm(c)
+        one = SparseProjection(columns, mean, width, r[:, None])
+        t = one.scores(known, targets.select("row"))
+        back = known.join(t, "row").groupBy("col").agg(F.sum(F.col("val") * F.col("score")).alias("p")).toArrow()
+        got = dict(zip(back.column("col").to_pylist(), back.column("p").to_pylist()))
         weights.append(r)
-        sent = spark.createDataFrame(list(zip(columns, r.tolist())), ["col", "r"])
-        t = entries.join(sent, "col").groupBy("row").agg(F.sum(F.col("val") * F.col("r")).alias("t"))
-        t = targets.select("row").join(t, "row", "left").select("row", (F.coalesce("t", F.lit(0.0)) - float(mean @ r)).alias("t"))
-        got = {x["col"]: x["p"] for x in entries.join(t, "row").groupBy("col").agg(F.sum(F.col("val") * F.col("t")).alias("p")).collect()}
-        load = np.array([got.get(k, 0.0) for k in columns])  # scores sum to zero, so the means drop out
+        load = np.array([got.get(k, 0.0) for k in columns]) / width  # scores sum to zero, so the means drop out
         v = load - basis @ (basis.T @ load)
         v -= basis @ (basis.T @ v)
         if np.linalg.norm(v) < 1e-12:
             break
         v /= np.linalg.norm(v)
         basis = np.column_stack([basis, v])
-        c = c - basis @ (basis.T @ c)
-    table = np.column_stack(weights) if weights else np.zeros((len(c), 0))
-    return {k: table[i] for i, k in enumerate(columns)}, dict(zip(columns, mean))
+        c = c - v * (v @ c)
+        c -= basis @ (basis.T @ c)
+    return SparseProjection(columns, mean, width, np.column_stack(weights) if weights else np.zeros((len(columns), 0)))

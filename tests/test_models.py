@@ -59,12 +59,22 @@ def test_pls_spans_the_scores_of_nipals(spark, scaling):
         assert abs(np.corrcoef(a, b)[0, 1]) > 1 - 1e-9
 
 
-def test_sparse_pls_equals_dense(spark):
+@pytest.mark.parametrize("scaling", ["standard", "pareto", "center"])
+def test_sparse_pls_equals_dense(spark, scaling):
     z, y, _, df = frame(spark, n=60)
+    df = df.withColumn("z", F.transform("z", lambda x, k: F.when(k == 2, 7.0).when(F.abs(x) > 0.5, x).otherwise(0.0)))  # sparse, one column constant
+    z = np.array([r.z for r in df.orderBy("id").collect()])
+    rows = df.select(F.col("id").alias("row"), "y")
     long = df.select(F.col("id").alias("row"), F.posexplode("z").alias("col", "val")).where("val <> 0")
-    weights, mean = reg.sparse_pls(long, df.select(F.col("id").alias("row"), "y"), 3)
-    dense = reg.pls(reg.moments(df, F.col("z"), F.col("y")), 3, "center")
-    assert np.allclose(np.array([weights[k] for k in range(6)]), dense.weights) and np.allclose([mean[k] for k in range(6)], z.mean(0))
+    got = reg.sparse_pls(long, rows, 3, scaling)
+    dense = reg.pls(reg.moments(df, F.col("z"), F.col("y")), 3, scaling)
+    assert got.columns == list(range(z.shape[1])) and np.allclose(got.weights, dense.weights) and np.allclose(got.mean, z.mean(0))
+    want = {r.id: r.s for r in df.select("id", dense.scores(F.col("z")).alias("s")).collect()}
+    more = long.unionByName(long.sparkSession.createDataFrame([(0, 99, 5.0)], "row long, col int, val double"))  # a column never seen
+    every = rows.select("row").unionAll(rows.sparkSession.createDataFrame([(-1,)], "row long"))
+    scores = {(r.row, r.component): r.score for r in got.scores(more, every).collect()}
+    assert all(np.isclose(scores[i, k], v) for i, s in want.items() for k, v in enumerate(s))
+    assert np.allclose([scores[-1, k] for k in range(3)], -(z.mean(0) / dense.width) @ dense.weights)  # a row of zeros
 
 
 def test_pca_and_canonical_correlations(spark):

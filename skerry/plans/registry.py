@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skerry.plans import assemblies, census, models, pairs, records, screens, spatial, vocab
+from skerry.plans import arms, assemblies, census, models, pairs, records, screens, spatial, vocab
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (pairs, census, spatial, records, models, screens, assemblies, vocab):
+for module in (pairs, census, spatial, records, models, screens, assemblies, vocab, arms):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL

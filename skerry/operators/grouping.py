@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skerry.operators import order_stats
+
 
 def decompose(rows: DataFrame, keys: list[str], y: str, over: list[str] | None = None) -> DataFrame:
     """One-way variance decomposition of y by the groups of `keys`, for each value of `over`.
@@ -43,11 +45,12 @@ def spread(rows: DataFrame, keys: list[str], y: str) -> DataFrame:
     g = rows.groupBy(*keys).agg(F.count(y).alias("m"), F.var_pop(y).alias("v"), (F.max(y) - F.min(y)).alias("r"))
     many = F.col("m") >= 2
     size = [F.count_if(F.col("m") == k).alias(f"size_{k}") for k in (1, 2, 3, 4)]
+    middle = order_stats.medians(g.where(many).select(F.sqrt("v").alias("std")), [], "std", "median_std")
     return g.agg(
         F.count("*").alias("groups"), F.avg(many.cast("int")).alias("multi"),
         F.sqrt(F.sum(F.when(many, F.col("m") * F.col("v"))) / F.sum(F.when(many, F.col("m")))).alias("rms_within"),
-        F.percentile(F.when(many, F.sqrt("v")), 0.5).alias("median_std"), F.max(F.when(many, F.col("r"))).alias("max_range"), *size, F.count_if(F.col("m") >= 5).alias("size_5"),
-    )
+        F.max(F.when(many, F.col("r"))).alias("max_range"), *size, F.count_if(F.col("m") >= 5).alias("size_5"),
+    ).withColumn("median_std", middle.scalar())
 
 
 def split_rate(rows: DataFrame, keys: list[str], inner: str, least: int = 1) -> DataFrame:
@@ -61,7 +64,8 @@ def quantile_summary(rows: DataFrame, columns: list[str]) -> DataFrame:
     points = (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
     names = ("p0", "p1", "p5", "p25", "p50", "p75", "p95", "p99", "p100")
     long = rows.select(F.explode(F.create_map(*(x for c in columns for x in (F.lit(c), finite(F.col(c).cast("double")))))).alias("column", "x"))
-    s = long.groupBy("column").agg(F.percentile("x", F.array(*map(F.lit, points))).alias("p"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.count("x").alias("n_finite"))
+    s = long.groupBy("column").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.count("x").alias("n_finite"))
+    s = s.join(order_stats.quantiles(long, ["column"], "x", list(points), "p").drop("n"), "column", "left")  # one row a column
     return s.select("column", *(F.col("p")[k].alias(n) for k, n in enumerate(names)), "mean", "std", "n_finite")
 
 
@@ -86,16 +90,14 @@ def histogram_mode(rows: DataFrame, keys: list[str], x: str, low: float, width:
     bin_ = F.least(F.greatest(F.floor((F.col(x) - low) / width), F.lit(0)), F.lit(bins - 1))
     c = rows.withColumn("bin", bin_).groupBy(*keys, "bin").agg(F.count("*").alias("c"))
     top = c.groupBy(*keys).agg(F.max_by("bin", F.struct("c", -F.col("bin"))).alias("bin"), F.sum("c").alias("n"))
-    medians = rows.groupBy(*keys).agg(F.percentile(x, 0.5).alias("median"))
+    medians = order_stats.medians(rows, keys, x, "median")
     mode = low + width * (F.col("bin") + 0.5)
     return top.join(medians, keys).select(*keys, "n", F.when(F.col("n") >= least, mode).otherwise(F.col("median")).alias("mode"))
 
 
 def average_ranks(rows: DataFrame, keys: list[str], x: str, name: str) -> DataFrame:
-    """Ranks with ties averaged, per group of `keys`: counts of values, then a running sum over distinct values."""
-    counts = rows.groupBy(*keys, x).agg(F.count("*").alias("c"))
-    before = F.sum("c").over(Window.partitionBy(*keys).orderBy(x)) - F.col("c")
-    return rows.join(counts.select(*keys, x, (before + (F.col("c") + 1) / 2).alias(name)), [*keys, x])
+    """Ranks with ties averaged, per group of `keys`; rows without a value go."""
+    return order_stats.average_ranks(rows, keys, x, name)
 
 
 def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

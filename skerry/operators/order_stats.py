@@ -82,6 +82,11 @@ def average_ranks(rows: DataFrame, keys: list[str], x: str, name: str) -> DataFr
     return hot_join(whole, places, ["g", "value"], whole.count(), "c").select("row.*", F.col("r").alias(name))
 
 
+def quantile_at(rows: DataFrame, x: str, point: float) -> DataFrame:
+    """One row and column: the quantile of all values at one point."""
+    return quantiles(rows, [], x, [point]).select(F.get("q", F.lit(0)).alias("value"))
+
+
 def medians(rows: DataFrame, keys: list[str], x: str, name: str) -> DataFrame:
     return quantiles(rows, keys, x, [0.5]).select(*keys, F.get("q", F.lit(0)).alias(name))
 

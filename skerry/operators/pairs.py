@@ -15,12 +15,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.functions import vectors
+from skerry.operators import order_stats
 
 TILE_ROWS, PAIR_ROWS = 4_096, 1_024
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors as rows of a matrix; those that meet must have one length."""
     flat = column.combine_chunks()
+    sizes = flat.value_lengths().to_numpy(zero_copy_only=False)
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError(f"vectors of unequal length, {sizes.min()} to {sizes.max()}, have no distance")
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
@@ -131,7 +136,7 @@ def tiled_range_join(points: DataFrame, radius: float, id_col: str = "vec_id", v
         found: list[tuple[np.ndarray, ...]] = []
         if a.num_rows and b.num_rows:
             qi, ci = a.column("id").to_numpy(), b.column("id").to_numpy()
-            x, y = (np.array(t.column("z").to_pylist()) for t in (a, b))
+            x, y = _matrix(a.column("z")), _matrix(b.column("z"))
             same = key[1].as_py() == key[2].as_py()
             for s in range(0, len(x), 256):
                 d = np.zeros((len(x[s : s + 256]), len(y)))
@@ -170,7 +175,7 @@ def nearest(points: DataFrame, k: int, id_col: str = "vec_id", vector_col: str =
         found: list[tuple[np.ndarray, ...]] = []
         if a.num_rows and b.num_rows:
             qi, ci = a.column("id").to_numpy(), b.column("id").to_numpy()
-            x, y = (np.array(t.column("z").to_pylist()) for t in (a, b))
+            x, y = _matrix(a.column("z")), _matrix(b.column("z"))
             qg, cg = a.column("own_group").to_numpy(), b.column("own_group").to_numpy()
             for s in range(0, len(x), 256):
                 d = np.zeros((len(x[s : s + 256]), len(y)))
@@ -180,10 +185,14 @@ def nearest(points: DataFrame, k: int, id_col: str = "vec_id", vector_col: str =
                 d[qi[s : s + 256, None] == ci[None, :]] = np.inf
                 if parted:
                     d[qg[s : s + 256, None] == cg[None, :]] = np.inf
-                for r in range(len(d)):
-                    near = np.lexsort((ci, d[r]))[:k]
-                    near = near[np.isfinite(d[r][near])]
-                    found.append((np.full(len(near), qi[s + r]), ci[near], d[r][near]))
+                # What is no farther than the k-th least may be among the k; only these few are put in order.
+                most = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if k < d.shape[1] else np.full((len(d), 1), np.inf)
+                r, c = np.nonzero((d <= most) & np.isfinite(d))
+                order = np.lexsort((ci[c], d[r, c], r))
+                r, c = r[order], c[order]
+                first = np.searchsorted(r, np.arange(len(d)))
+                keep = np.arange(len(r)) - first[r] < k
+                found.append((qi[s + r[keep]], ci[c[keep]], d[r[keep], c[keep]]))
         parts = [np.concatenate(p) for p in zip(*found)] if found else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
         return pa.table({"query_id": pa.array(parts[0], pa.int64()), "neighbour_id": pa.array(parts[1], pa.int64()), "d": pa.array(parts[2], pa.float64())})
 
@@ -200,7 +209,7 @@ def nearest_outside(points: DataFrame, k: int, id_col: str = "vec_id", vector_co
 def local_scales(neighbours: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(id, sigma): distance of the k-th neighbour; rows with fewer take the median of the others."""
     kth = neighbours.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("d").alias("sigma"))
-    median = kth.agg(F.expr("percentile(sigma, 0.5)").alias("m"))
+    median = order_stats.quantile_at(kth, "sigma", 0.5)
     return ids.select("id").join(kth, "id", "left").select("id", F.coalesce("sigma", median.scalar()).alias("sigma"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skerry.operators.hot_keys import hot_join
 from skerry.session import durable
 
 
@@ -24,16 +25,14 @@ def uniform(rows: DataFrame, id_col: str, size: int, seed: int) -> DataFrame:
 
 def stratified_equal(rows: DataFrame, id_col: str, class_col: str, size: int, per: int, seed: int) -> DataFrame:
     """`per` rows of each class first, then rows of any class until `size`."""
-    within = F.row_number().over(Window.partitionBy(class_col).orderBy(order_key(id_col, seed), id_col))
-    early = rows.withColumn("__early", within <= per)
+    early = places_within(rows, [class_col], [order_key(id_col, seed), id_col], "__early").withColumn("__early", F.col("__early") <= per)
     return early.orderBy(F.desc("__early"), order_key(id_col, seed), id_col).limit(size).drop("__early")
 
 
 def stratified_share(rows: DataFrame, id_col: str, class_col: str, share: float, floor: int, seed: int) -> DataFrame:
     """A share of each class, at least `floor` rows of it."""
     quota = rows.groupBy(class_col).agg(F.greatest(F.lit(floor), F.ceil(share * F.count("*"))).alias("__quota"))
-    within = F.row_number().over(Window.partitionBy(class_col).orderBy(order_key(id_col, seed), id_col))
-    return rows.withColumn("__r", within).join(quota, class_col).where("__r <= __quota").drop("__r", "__quota")
+    return places_within(rows, [class_col], [order_key(id_col, seed), id_col], "__r").join(quota, class_col).where("__r <= __quota").drop("__r", "__quota")
 
 
 def cluster(rows: DataFrame, id_col: str, group_col: str, size: int, cap: int, least: int, seed: int) -> DataFrame:
@@ -61,6 +60,15 @@ def global_places(rows: DataFrame, order: list, name: str = "place") -> DataFram
     return placed.withColumn(name, (F.col("__at") - F.col("__first") + F.col("__before") + 1)).drop("__at", "__part", "__first", "__before")
 
 
+def places_within(rows: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
+    """rows with their place 1, 2, ... among the rows of equal keys (nulls are equal), without a task for each group."""
+    group = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    placed = global_places(rows.withColumn("__g", group), ["__g", *order], "__p")
+    first = placed.groupBy("__g").agg(F.min("__p").alias("__first"), F.count("*").alias("__held"))
+    met = hot_join(placed, first, ["__g"], rows.count(), "__held")
+    return met.withColumn(name, F.col("__p") - F.col("__first") + 1).select(*rows.columns, name)
+
+
 def strided(rows: DataFrame, id_col: str, step: int) -> DataFrame:
     return global_places(rows, [id_col], "__place").where(F.col("__place") % step == 1).drop("__place")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skerry.operators import sampling, variogram
+from skerry.operators import order_stats, sampling, variogram
 
 BYTES_PER_ENTRY = 12
 
@@ -27,7 +27,7 @@ def drawn_pairs(rows: DataFrame, id_col: str, per_row: int, seed: int, keep: lis
 
 def support_sweep(pairs: DataFrame, same: Column, shares: list[float], target: int, budget: float) -> DataFrame:
     """By radius (percentiles of d): share of pairs inside, with and without the category mask, bytes at the target size, and the largest size within the budget."""
-    radii = pairs.agg(F.percentile("d", F.array(*map(F.lit, shares)))).scalar()
+    radii = order_stats.quantiles(pairs, [], "d", shares).select("q").scalar()
     each = pairs.select("d", same.alias("same"), F.posexplode(radii).alias("bin", "radius"))
     c = each.groupBy("bin", "radius").agg(F.avg((F.col("d") <= F.col("radius")).cast("int")).alias("density"), F.avg(((F.col("d") <= F.col("radius")) & F.col("same")).cast("int")).alias("masked"))
     size = lambda s: F.col(s) * BYTES_PER_ENTRY * float(target) ** 2

@@ -5,21 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skerry.operators import order_stats
+
 
 def equal_count_bins(pairs: DataFrame, bins: int, over: list[str] | None = None) -> DataFrame:
     """pairs with `bin` from percentile edges; each bin is half-open but the last."""
     over = over or []
-    shares = F.array(*(F.lit(k / bins) for k in range(1, bins)))
-    edges = pairs.groupBy(*over).agg(F.percentile("d", shares).alias("edges"))
+    shares = [k / bins for k in range(1, bins)]
     bin_ = F.size(F.filter("edges", lambda e: e <= F.col("d")))
-    if over:
-        return pairs.join(F.broadcast(edges), over).withColumn("bin", bin_).drop("edges")
-    return pairs.withColumn("edges", edges.scalar()).withColumn("bin", bin_).drop("edges")
+    return order_stats.with_quantiles(pairs, over, "d", shares, "edges").withColumn("bin", bin_).drop("edges")
 
 
 def equal_width_bins(pairs: DataFrame, bins: int, upto: float) -> DataFrame:
     """pairs up to a percentile of d with `bin` of equal width from zero."""
-    top = pairs.agg(F.percentile("d", upto)).scalar()
+    top = order_stats.quantile_at(pairs, "d", upto).scalar()
     near = pairs.withColumn("top", top).where("d <= top")
     return near.withColumn("bin", F.least(F.floor(F.col("d") / (F.col("top") / bins)), F.lit(bins - 1)).cast("int")).drop("top")
 
@@ -31,8 +30,11 @@ def semivariance(binned: DataFrame, estimator: str = "matheron", lag: str = "med
         gamma = 0.5 * F.avg(dy2)
     else:
         gamma = 0.5 * F.pow(F.avg(F.pow(dy2, 0.25)), 4) / (0.457 + 0.494 / F.count("*"))
-    where = {"median": F.percentile("d", 0.5), "mean": F.avg("d")}[lag]
-    return binned.groupBy(*(over or []), "bin").agg(where.alias("lag"), gamma.alias("gamma"), F.count("*").alias("n"))
+    keys = [*(over or []), "bin"]
+    if lag == "mean":
+        return binned.groupBy(*keys).agg(F.avg("d").alias("lag"), gamma.alias("gamma"), F.count("*").alias("n"))
+    curve = binned.groupBy(*keys).agg(gamma.alias("gamma"), F.count("*").alias("n"))
+    return curve.join(order_stats.medians(binned, keys, "d", "lag"), keys).select(*keys, "lag", "gamma", "n")  # one row a bin
 
 
 def smoothed(curve: DataFrame) -> Column:

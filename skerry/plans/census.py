@@ -104,7 +104,7 @@ def hygiene_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @both("SELECT p_type AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, p_type)::INTEGER AS rank FROM part GROUP BY p_type")
 def value_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("value")).agg(F.count("*").alias("n"))
-    return c.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "value")))
+    return sampling.global_places(c, [F.desc("n"), "value"], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 @both("""WITH b AS (SELECT l_returnflag AS flag, least(greatest(floor((l_quantity - 1) / 2.5), 0), 19) AS bin, count(*) AS c FROM lineitem GROUP BY ALL),

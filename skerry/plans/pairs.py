@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.functions import kernels
-from skerry.operators import pairs
+from skerry.operators import order_stats, pairs
 from skerry.session import table
 
 WHOLE = {"z": (1, 64)}
@@ -68,7 +68,7 @@ def gram_product(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT cat, count(*) AS nnz, round(rho, 6) AS rho, round(sum({W2('d / rho')}), 6) AS mass FROM d JOIN r USING (cat) WHERE d < rho GROUP BY cat, rho""")
 def gram_percat_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pairs.category_pairs(points(spark, sf_dir), WHOLE)
-    radii = p.groupBy("cat").agg(F.expr("percentile(d_z, 0.3)").alias("rho"))
+    radii = order_stats.quantiles(p, ["cat"], "d_z", [0.3]).select("cat", F.get("q", F.lit(0)).alias("rho"))
     k = kernels.wendland_c2(kernels.scaled(F.col("d_z"), F.col("rho")))
     joined = p.join(radii, "cat").where("d_z < rho")
     return joined.groupBy("cat", "rho").agg(F.count("*").alias("nnz"), F.round(F.sum(k), 6).alias("mass")).withColumn("rho", F.round("rho", 6))
@@ -133,7 +133,8 @@ def nn_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT round(quantile_cont(c0::DOUBLE, 0.5), 6) AS m0, round(quantile_cont(c1::DOUBLE, 0.5), 6) AS m1, round(quantile_cont(c2::DOUBLE, 0.5), 6) AS m2, max(c2) AS most, count_if(c1 = 0) AS isolated FROM c""")
 def radius_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = pairs.neighbour_counts(points(spark, sf_dir), [1.0, 1.2, 1.4])
-    return c.agg(*(F.round(F.expr(f"percentile(c{k}, 0.5)"), 6).alias(f"m{k}") for k in range(3)), F.max("c2").alias("most"), F.count_if(F.col("c1") == 0).alias("isolated"))
+    sums = c.agg(F.max("c2").alias("most"), F.count_if(F.col("c1") == 0).alias("isolated"))
+    return sums.select(*(F.round(order_stats.quantile_at(c, f"c{k}", 0.5).scalar(), 6).alias(f"m{k}") for k in range(3)), "most", "isolated")
 
 
 @both(f"WITH {N} SELECT query_id AS id, round(d, 6) AS sigma FROM s WHERE rank = 7")
@@ -145,7 +146,7 @@ def local_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 @both(f"WITH {N} SELECT round(quantile_cont(d, 0.5), 6) AS rho FROM s WHERE rank = 11")
 def radius_for_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Global policy: the median distance of the (k+1)-th neighbour, k = 10."""
-    return pairs.nearest(points(spark, sf_dir), 11).where("rank = 11").agg(F.round(F.expr("percentile(d, 0.5)"), 6).alias("rho"))
+    return pairs.nearest(points(spark, sf_dir), 11).where("rank = 11").transform(lambda d: order_stats.quantile_at(d, "d", 0.5)).select(F.round("value", 6).alias("rho"))
 
 
 @both(f"WITH {N}, m AS (SELECT ql AS cat, least(10, count(DISTINCT query_id) - 1) AS k FROM s GROUP BY ql) SELECT ql AS cat, k::BIGINT AS k, round(quantile_cont(d, 0.5), 6) AS rho FROM s JOIN m ON m.cat = ql AND m.k = rank GROUP BY ql, k")
@@ -154,7 +155,7 @@ def radius_per_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
     sizes = p.groupBy(F.col("label").alias("cat")).agg(F.least(F.lit(10).cast("long"), F.count("*") - 1).alias("k"))
     near = pairs.nearest(p, 10).join(p.select(F.col("vec_id").alias("query_id"), F.col("label").alias("cat")), "query_id").join(sizes, "cat").where("rank = k")
-    return near.groupBy("cat", "k").agg(F.round(F.expr("percentile(d, 0.5)"), 6).alias("rho"))
+    return order_stats.medians(near, ["cat", "k"], "d", "rho").withColumn("rho", F.round("rho", 6))
 
 
 @both(f"""WITH {D}, n AS (SELECT count(*) AS n FROM embeddings), r AS (SELECT unnest([1.1, 1.2, 1.3, 1.35]::DOUBLE[]) AS radius)
@@ -192,8 +193,7 @@ def cross_category_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT round(ra, 6) AS ra, round(rb, 6) AS rb, round(avg((da < ra AND db < rb)::INT) / (avg((da < ra)::INT) * avg((db < rb)::INT)), 6) AS lift FROM d CROSS JOIN q GROUP BY ra, rb""")
 def channel_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = pairs.category_pairs(points(spark, sf_dir), CHANNELS)
-    q = d.agg(F.expr("percentile(d_a, 0.1)").alias("ra"), F.expr("percentile(d_b, 0.1)").alias("rb"))
-    near = d.select("d_a", "d_b", q.select("ra").scalar().alias("ra"), q.select("rb").scalar().alias("rb"))
+    near = d.select("d_a", "d_b", order_stats.quantile_at(d, "d_a", 0.1).scalar().alias("ra"), order_stats.quantile_at(d, "d_b", 0.1).scalar().alias("rb"))
     a, b = F.col("d_a") < F.col("ra"), F.col("d_b") < F.col("rb")
     rate = lambda c: F.avg(c.cast("int"))
     return near.groupBy("ra", "rb").agg(F.round(rate(a & b) / (rate(a) * rate(b)), 6).alias("lift")).select(F.round("ra", 6).alias("ra"), F.round("rb", 6).alias("rb"), "lift")
@@ -245,7 +245,8 @@ def density_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = pairs.category_pairs(points(spark, sf_dir), CHANNELS)
     a, b = F.col("d_a") / 0.95, F.col("d_b") / 0.9
     x = d.select(F.greatest(a, b).alias("t"), F.least(a, b).alias("u"))
-    return x.agg(F.round(F.expr("percentile(t, 0.05)"), 6).alias("product_scale"), F.round(F.expr("percentile(u, 0.05)"), 6).alias("additive_scale"))
+    scale = order_stats.quantile_at(x, "t", 0.05).select(F.round("value", 6).alias("product_scale"))
+    return scale.withColumn("additive_scale", F.round(order_stats.quantile_at(x, "u", 0.05).scalar(), 6))
 
 
 QUERIES, ORACLE_SQL = Q, O

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions import stats
 from skerry.operators import grouping as g
-from skerry.operators import pairs
+from skerry.operators import pairs, sampling
 from skerry.operators import variogram as v
 from skerry.plans.census import rounded
 from skerry.plans.pairs import D, N, WHOLE, points, with_labels
@@ -176,7 +176,7 @@ def rank_topk_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of the top 5% by sigma and by error: both sets by a distributed order, then a join on the id."""
     p = predictions(spark, sf_dir).select("cat", "id", "sigma", F.abs(residual()).alias("e"))
     n = p.groupBy("cat").agg(F.greatest(F.floor(0.05 * F.count("*")), F.lit(1)).alias("k"))
-    top = lambda c: p.join(n, "cat").withColumn("r", F.row_number().over(Window.partitionBy("cat").orderBy(F.desc(c), "id"))).where("r <= k").select("cat", "k", "id")
+    top = lambda c: sampling.places_within(p, ["cat"], [F.desc(c), "id"], "r").join(n, "cat").where("r <= k").select("cat", "k", "id")
     both_ = top("sigma").join(top("e").drop("k"), ["cat", "id"], "left_semi").groupBy("cat").agg(F.count("*").alias("c"))
     return rounded(n.join(both_, "cat", "left").select("cat", "k", (F.coalesce("c", F.lit(0)) / F.col("k")).alias("recall")))
 

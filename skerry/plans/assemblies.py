@@ -33,10 +33,10 @@ def named_with_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").join(names, "o_custkey", "left").select("o_orderkey", F.coalesce("c_mktsegment", F.lit("unknown")).alias("segment"))
 
 
-@both("""SELECT doc_id, source, quality, CASE WHEN quality IS NULL THEN 'none' WHEN toxic = 1 THEN 'toxic' ELSE 'clean' END AS subset FROM documents LEFT JOIN (SELECT doc_id, any_value(quality) AS quality, any_value(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)""")
+@both("""SELECT doc_id, source, quality, CASE WHEN quality IS NULL THEN 'none' WHEN toxic = 1 THEN 'toxic' ELSE 'clean' END AS subset FROM documents LEFT JOIN (SELECT doc_id, min(quality) AS quality, min(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)""")
 def joined_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records with their label and subset, joined by id and never by position; records without a label stay."""
-    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.first("quality").alias("quality"), F.first("toxic").alias("toxic"))
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("toxic").alias("toxic"))
     subset = F.when(F.col("quality").isNull(), "none").when(F.col("toxic") == 1, "toxic").otherwise("clean")
     return table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select("doc_id", "source", "quality", subset.alias("subset"))
 
@@ -128,12 +128,12 @@ ARD = [1 + k / 64 for k in range(64)]
 SCALED = "list_transform(e, lambda x, k: x / (1 + (k - 1) / 64::DOUBLE))"
 
 
-@both(f"""WITH {P}, s AS (SELECT vec_id, label, {SCALED} AS e FROM p), d AS (SELECT a.label AS cat, list_distance(a.e, b.e) / 0.9::DOUBLE AS t FROM s a JOIN s b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT cat, count(*) AS nnz, round(sum({W2("t")}), 6) AS mass FROM d WHERE t < 1 GROUP BY cat""")
+@both(f"""WITH {P}, s AS (SELECT vec_id, label, {SCALED} AS e FROM p), d AS (SELECT a.label AS cat, list_distance(a.e, b.e) / 4::DOUBLE AS t FROM s a JOIN s b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT cat, count(*) AS nnz, round(sum(power(1 - t, 37) * (1368 * t * t + 111 * t + 3) / 3), 6) AS mass FROM d WHERE t < 1 GROUP BY cat""")
 def gram_ard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Compact kernel of distances with a length for each dimension."""
+    """Compact kernel of distances with a length for each dimension, of the form that is positive definite in all 64."""
     p = points(spark, sf_dir).withColumn("embedding", F.zip_with(F.col("embedding").cast("array<double>"), F.array(*map(F.lit, ARD)), lambda x, w: x / w))
-    near = pairs.category_pairs(p, WHOLE, within={"z": 0.9})
-    k = kernels.wendland_c2(kernels.scaled(F.col("d_z"), 0.9))
+    near = pairs.category_pairs(p, WHOLE, within={"z": 4.0})
+    k = kernels.wendland(kernels.scaled(F.col("d_z"), 4.0), 64, 2)
     return rounded(near.groupBy("cat").agg(F.count("*").alias("nnz"), F.sum(k).alias("mass")))
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skerry.operators import sampling
+from skerry.session import remove_folder
 
 
 def with_offsets(rows: DataFrame, shard_col: str, order_col: str, name: str = "gidx") -> DataFrame:
@@ -22,17 +24,56 @@ def with_offsets(rows: DataFrame, shard_col: str, order_col: str, name: str = "g
 def convert_missing(source: DataFrame, path: str, shard_col: str, transform: Callable[[DataFrame], DataFrame], force: bool = False) -> DataFrame:
     """Writes the transformed shards that `path` doesn't hold yet, one folder a shard, and reads all of them.
 
-    Done shards are known by their folders, so a broken run resumes; Spark's commit keeps half a shard out.
+    Done shards are known by their folders, so a broken run resumes; Spark's commit keeps half a shard out. With
+    `force` the shards of `source` are written anew and all others stay.
     """
     spark = source.sparkSession
     todo = source
     if not force and exists(spark, path):
         todo = source.join(spark.read.parquet(path).select(shard_col).distinct(), shard_col, "left_anti")
-    writer = transform(todo).write.partitionBy(shard_col)
-    writer.mode("overwrite" if force else "append").parquet(path)
+    if force:
+        put_sections(transform(todo), path, shard_col)
+    else:
+        transform(todo).write.partitionBy(shard_col).mode("append").parquet(path)
     return spark.read.parquet(path)
 
 
+def put_sections(rows: DataFrame, path: str, section_col: str) -> None:
+    """Writes the sections that rows hold, each in place of its own earlier rows; other sections stay."""
+    rows.write.partitionBy(section_col).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
+def fingerprint(*inputs: DataFrame) -> str:
+    """Hash of the rows of all inputs, whatever their order; it changes with any value, column name or type."""
+    seen = []
+    for df in inputs:
+        row = F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"}))
+        seen.append((df.schema.simpleString(), *df.agg(F.count("*"), F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0)), F.coalesce(F.bit_xor(row), F.lit(0))).first()))
+    return hashlib.md5(repr(seen).encode()).hexdigest()
+
+
+def stored(spark: SparkSession, path: str, build: Callable[[], DataFrame], inputs: list[DataFrame], **key) -> DataFrame:
+    """The table stored under its key (such as n and seed), built anew where it isn't there or its inputs have changed.
+
+    A table counts as stored once its write is committed, so a broken one is never read; the one of earlier inputs goes
+    only after that.
+    """
+    base = "/".join([path, *(f"{k}={key[k]}" for k in sorted(key))])
+    folder = f"{base}/inputs={fingerprint(*inputs)}"
+    if not exists(spark, folder):
+        build().write.mode("overwrite").parquet(folder)
+        for other in folders(spark, base):
+            if other != folder.rsplit("/", 1)[1]:
+                remove_folder(spark, f"{base}/{other}")
+    return spark.read.parquet(folder)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder, on any file system that Spark reads."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return [s.getPath().getName() for s in place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place) if s.isDirectory()]
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a folder holds a finished write, on any file system that Spark reads."""
     jvm = spark.sparkContext._jvm

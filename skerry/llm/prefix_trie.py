@@ -20,10 +20,11 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skerry.operators.hot_keys import hot_join
+from skerry.operators.order_stats import earlier_sums
 from skerry.operators.sampling import global_places
 from skerry.session import durable
 
@@ -33,21 +34,6 @@ KEY = ("depth", *WORDS)
 PARENT = tuple(f"parent_{k}" for k in KEY)
 
 
-def earlier_sums(rows: DataFrame, keys: list[str], at: str, values: list[str], length: int) -> DataFrame:
-    """rows with `before_<value>`, sums over the earlier rows of their keys; `at` counts from 0, below `length`.
-
-    Blocks are summed first, and blocks of blocks where there are many, so that no window holds over BLOCK rows.
-    """
-    run, within = rows.withColumn("run", F.floor(F.col(at) / BLOCK)), Window.partitionBy(*keys, "run").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
-    out = run.withColumns({f"before_{v}": F.coalesce(F.sum(v).over(within), F.lit(0)) for v in values})
-    if length <= BLOCK:
-        return out.drop("run")
-    sums = run.groupBy(*keys, "run").agg(*(F.sum(v).alias(f"held_{v}") for v in values)).withColumnRenamed("run", "block")
-    sums = earlier_sums(sums, keys, "block", [f"held_{v}" for v in values], -(-length // BLOCK))
-    sums = sums.select(*keys, F.col("block").alias("run"), *(f"before_held_{v}" for v in values))
-    return out.join(sums, [*keys, "run"]).select(*rows.columns, *((F.col(f"before_{v}") + F.col(f"before_held_{v}")).alias(f"before_{v}") for v in values))
-
-
 def numbered(conversations: DataFrame, id_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
     """(c, at, digest, size): turns in order; places of a conversation follow one another."""
     role, text = F.coalesce(F.col(role_col), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))

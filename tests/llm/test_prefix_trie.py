@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skerry.llm import prefix_trie as p
-from skerry.operators import hot_keys
+from skerry.operators import hot_keys, order_stats
 
 SCHEMA = "conv_id long, turn long, role string, text string, c string, depth int, place string"
 
@@ -71,6 +71,7 @@ def conversations(rng):
 def test_nodes_equal_brute_force(spark, monkeypatch, small):
     if small:  # blocks of blocks, ranks in three levels, and hot keys
         monkeypatch.setattr(p, "BLOCK", 4)
+        monkeypatch.setattr(order_stats, "BLOCK", 4)
         monkeypatch.setattr(p, "WIDTH", 5)
         for f in (hot_keys.is_hot, hot_keys.hot_join):
             monkeypatch.setattr(f, "__defaults__", tuple(3 if d == hot_keys.HOT_ROWS else d for d in f.__defaults__))
@@ -92,7 +93,7 @@ def test_many_equal_conversations(spark, monkeypatch):
 
 
 def test_earlier_sums_in_three_levels(spark, monkeypatch):
-    monkeypatch.setattr(p, "BLOCK", 3)
+    monkeypatch.setattr(order_stats, "BLOCK", 3)
     rows = [(k % 2, k // 2, k) for k in range(80)]
-    got = p.earlier_sums(spark.createDataFrame(rows, "g long, at long, n long"), ["g"], "at", ["n"], 40).collect()
+    got = order_stats.earlier_sums(spark.createDataFrame(rows, "g long, at long, n long"), ["g"], "at", ["n"], 40).collect()
     assert all(r.before_n == sum(n for g, at, n in rows if g == r.g and at < r.at) for r in got) and len(got) == 80

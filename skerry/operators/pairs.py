@@ -7,6 +7,7 @@ bounded size, which return k rows a query and tile, never all pairs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -78,6 +79,31 @@ def category_pairs(points: DataFrame, channels: dict[str, tuple[int, int]], id_c
     return left.groupBy("cat", "q", "c").cogroup(right.groupBy("cat", "q", "c")).applyInArrow(search, schema)
 
 
+def pair_sums(points: DataFrame, names: list[str], values: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], id_col: str = "vec_id", cat_col: str = "label", vector_col: str = "embedding", tile: int = PAIR_ROWS) -> DataFrame:
+    """(cat, names...): sums over the pairs of a category of symmetric values; tiles sum, no pair leaves a task.
+
+    `values` takes the vectors of two blocks and returns a matrix for each name.
+    """
+    kind = points.schema[cat_col].dataType.simpleString()
+    left, right = _tiles(points, id_col, cat_col, vector_col, tile)
+
+    def total(key, a: pa.Table, b: pa.Table) -> pa.Table:
+        sums, rows = np.zeros(len(names)), 0
+        if a.num_rows and b.num_rows:
+            qi, ci, x, y = a.column("id").to_numpy(), b.column("id").to_numpy(), _matrix(a.column("z")), _matrix(b.column("z"))
+            same = key[1].as_py() == key[2].as_py()
+            for s in range(0, len(x), 128):
+                met = qi[s : s + 128, None] < ci[None, :] if same else qi[s : s + 128, None] != ci[None, :]
+                sums += [m[met].sum() for m in values(x[s : s + 128], y)]
+                rows += int(met.sum())
+        cats = pa.repeat(key[0], 1 if rows else 0)
+        return pa.table([cats, *(pa.array([v] if rows else [], pa.float64()) for v in sums)], names=["cat", *names])
+
+    schema = f"cat {kind}, " + ", ".join(f"{n} double" for n in names)
+    parts = left.groupBy("cat", "q", "c").cogroup(right.groupBy("cat", "q", "c")).applyInArrow(total, schema)
+    return parts.groupBy("cat").agg(*(F.sum(n).alias(n) for n in names))
+
+
 def neighbour_counts(points: DataFrame, radii: list[float], id_col: str = "vec_id", cat_col: str = "label", vector_col: str = "embedding", tile: int = TILE_ROWS) -> DataFrame:
     """(id, c0, c1, ...): the other rows of the category nearer than each radius; tiles count, no pair leaves a task."""
     left, right = _tiles(points, id_col, cat_col, vector_col, tile)

@@ -6,6 +6,7 @@ added by Spark. The intercept is never penalised.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,6 +58,49 @@ def moments(rows: DataFrame, x: Column, y: Column) -> Moments:
     return Moments(flat[0], flat[1 : p + 1], flat[p + 1 :].reshape(p, p))
 
 
+def fold_moments(rows: DataFrame, x: Column, y: Column, fold: Column) -> dict[int, Moments]:
+    """Moments of each fold (a whole number) in one pass; those of its training set are all others' less its own."""
+
+    def part(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            values, folds = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1), batch.column(1).to_numpy()
+            for k in np.unique(folds).tolist():
+                own = values[folds == k]
+                flat = np.concatenate([[float(len(own))], own.sum(0), (own.T @ own).ravel()])
+                sums[k] = sums[k] + flat if k in sums else flat
+        for k, flat in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), k)), pa.array(np.arange(len(flat))), pa.array(flat)], names=["fold", "k", "v"])
+
+    whole = F.concat(x.cast("array<double>"), F.array(y.cast("double")))
+    usable = rows.select(whole.alias("v"), fold.cast("long").alias("fold")).where("v IS NOT NULL AND fold IS NOT NULL AND NOT exists(v, e -> e IS NULL)")
+    sums = usable.mapInArrow(part, "fold long, k long, v double").groupBy("fold", "k").agg(F.sum("v").alias("v")).toArrow()  # p^2 numbers a fold
+    folds, places, values = (sums.column(c).to_numpy() for c in ("fold", "k", "v"))
+    out = {}
+    for k in np.unique(folds).tolist():
+        flat = values[folds == k][np.argsort(places[folds == k])]
+        p = int((-1 + np.sqrt(1 + 4 * (len(flat) - 1))) / 2)
+        out[k] = Moments(flat[0], flat[1 : p + 1], flat[p + 1 :].reshape(p, p))
+    return out
+
+
+def cross_validated(by_fold: dict[int, Moments], fit: Callable[[Moments], Linear]) -> list[tuple[int | None, float, float]]:
+    """(fold, n, R2) of models that did not see the fold, and (None, n, R2) of all held-out errors together.
+
+    Errors of a fold are a quadratic form of its own moments, so that no row is read again.
+    """
+    names = ("n", "total", "cross")
+    every = [sum(getattr(m, f) for m in by_fold.values()) for f in names]
+    out, lost, spread = [], 0.0, 0.0
+    for k, own in sorted(by_fold.items()):
+        model = fit(Moments(*(a - getattr(own, f) for a, f in zip(every, names))))
+        c, b = np.append(-model.weights, 1.0), model.intercept
+        error = float(c @ own.cross @ c - 2 * b * (c @ own.total) + own.n * b * b)
+        out.append((k, own.n, 1 - error / own.scatter[-1, -1]))
+        lost, spread = lost + error, spread + own.scatter[-1, -1]
+    return [*out, (None, every[0], 1 - lost / spread)]
+
+
 @dataclass(frozen=True)
 class Linear:
     intercept: float
@@ -146,6 +190,16 @@ def pca(m: Moments, components: int, whiten: bool = False) -> Projection:
     return Projection(m.mean[:-1], np.ones(len(m.mean) - 1), vector)
 
 
+def on_scores(m: Moments, projection: Projection, penalty: float = 0.0) -> Linear:
+    """Least squares on the scores of a projection, as weights of the columns; from the moments alone."""
+    a = projection.weights / projection.width[:, None]
+    s = m.scatter
+    beta = np.linalg.pinv(a.T @ s[:-1, :-1] @ a + penalty * np.eye(a.shape[1])) @ (a.T @ s[:-1, -1])
+    w = a @ beta
+    rest = max(s[-1, -1] - 2 * w @ s[:-1, -1] + w @ s[:-1, :-1] @ w, 0.0)
+    return Linear(float(m.mean[-1] - w @ m.mean[:-1]), w, rest / max(m.n - len(beta) - 1, 1), a @ np.linalg.pinv(a.T @ s[:-1, :-1] @ a) @ a.T, m.mean[:-1], m.n)
+
+
 def canonical_correlations(m: Moments, split: int) -> np.ndarray:
     """Between the first `split` columns and the others but y."""
     s = m.scatter[:-1, :-1]

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.functions import kernels
 from skerry.operators import order_stats, pairs
+from skerry.operators.gaussian import distances, wendland_c2
 from skerry.session import table
 
 WHOLE = {"z": (1, 64)}
@@ -78,11 +80,16 @@ def gram_percat_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT cat, count(*) AS nnz, round(sum(power(2 * la * lb / (la * la + lb * lb), 32) * {W2('d / sqrt(la * la + lb * lb)')}), 6) AS mass FROM g WHERE d < sqrt(la * la + lb * lb) GROUP BY cat""")
 def gram_gibbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
-    scale = pairs.local_scales(pairs.nearest(p, 5), p.select(F.col("vec_id").alias("id")), 5).withColumn("l", 0.9 * F.col("sigma"))
-    d = pairs.category_pairs(p, WHOLE)
-    d = d.join(scale.select(F.col("id").alias("i"), F.col("l").alias("la")), "i").join(scale.select(F.col("id").alias("j"), F.col("l").alias("lb")), "j")
-    d = d.where("d_z < sqrt(la * la + lb * lb)")
-    return d.groupBy("cat").agg(F.count("*").alias("nnz"), F.round(F.sum(kernels.gibbs(F.col("d_z"), F.col("la"), F.col("lb"), 64)), 6).alias("mass"))
+    scale = pairs.local_scales(pairs.nearest(p, 5), p.select(F.col("vec_id").alias("id")), 5).select(F.col("id").alias("vec_id"), F.array(0.9 * F.col("sigma")).alias("l"))
+    p = p.join(scale, "vec_id").withColumn("embedding", F.concat(F.col("embedding").cast("array<double>"), "l"))
+
+    def gibbs(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        a, b = x[:, -1:], y[:, -1:].T
+        t = distances(x[:, :-1], y[:, :-1]) / np.sqrt(a * a + b * b)
+        return [(t < 1).astype(float), (2 * a * b / (a * a + b * b)) ** 32 * wendland_c2(t)]
+
+    sums = pairs.pair_sums(p, ["nnz", "mass"], gibbs).where("nnz > 0")
+    return sums.select("cat", F.col("nnz").cast("long").alias("nnz"), F.round("mass", 6).alias("mass"))
 
 
 @both(f"""WITH {D} SELECT cat, round(sum(CASE WHEN d < 1.4 THEN power(1 - d / 1.4::DOUBLE, 5) * (5 * d / 1.4::DOUBLE + 1) ELSE 0 END), 6) AS psi_3_1_l4,
@@ -90,19 +97,31 @@ def gram_gibbs(spark: SparkSession, sf_dir: str) -> DataFrame:
   round(sum(CASE WHEN d < 1.4 THEN power(1 - d / 1.4::DOUBLE, 8) * (32 * power(d / 1.4::DOUBLE, 3) + 25 * power(d / 1.4::DOUBLE, 2) + 8 * d / 1.4::DOUBLE + 1) ELSE 0 END), 6) AS psi_3_3,
   round(sum((1 + sqrt(5::DOUBLE) * d / 0.8::DOUBLE + 5 * d * d / (3 * 0.64::DOUBLE)) * exp(-sqrt(5::DOUBLE) * d / 0.8::DOUBLE)), 6) AS matern52, round(sum(exp(-d / 0.5::DOUBLE)), 6) AS exponential, round(sum(exp(-d * d / (2 * 0.25::DOUBLE))), 6) AS gaussian FROM d GROUP BY cat""")
 def kernel_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = F.col("d_z")
-    t = kernels.scaled(d, 1.4)
-    k = {"psi_3_1_l4": kernels.wendland(t, 5, 1), "octic_35": kernels.octic_35(t), "psi_3_3": kernels.wendland(t, 3, 3), "matern52": kernels.matern52(d, 0.8), "exponential": kernels.exponential(d, 0.5), "gaussian": kernels.gaussian(d, 0.5)}
-    return pairs.category_pairs(points(spark, sf_dir), WHOLE).groupBy("cat").agg(*(F.round(F.sum(v), 6).alias(n) for n, v in k.items()))
+    names = ["psi_3_1_l4", "octic_35", "psi_3_3", "matern52", "exponential", "gaussian"]
+
+    def family(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        d = distances(x, y)
+        t, r = np.minimum(d / 1.4, 1.0), math.sqrt(5) * d / 0.8
+        octic = lambda a: (1 - t) ** 8 * (a * t**3 + 25 * t**2 + 8 * t + 1)
+        return [(1 - t) ** 5 * (5 * t + 1), octic(35), octic(32), (1 + r + r * r / 3) * np.exp(-r), np.exp(-d / 0.5), np.exp(-d * d / (2 * 0.25))]
+
+    sums = pairs.pair_sums(points(spark, sf_dir), names, family)
+    return sums.select("cat", *(F.round(n, 6).alias(n) for n in names))
 
 
 @both(f"""WITH {P}, b AS (SELECT a.label AS cat, a.vec_id AS i, b.vec_id AS j, list_reduce(list_transform(list_zip(a.e, b.e), lambda x: power(1 - least(abs(x[1] - x[2]) / 2::DOUBLE, 1), 3) * (3 * least(abs(x[1] - x[2]) / 2::DOUBLE, 1) + 1)), lambda s, v: s * v) AS k
   FROM p a JOIN p b ON a.label = b.label AND a.vec_id < b.vec_id) SELECT cat, count_if(k > 0) AS nnz, round(sum(k), 9) AS mass FROM b GROUP BY cat""")
 def kernel_box_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = points(spark, sf_dir)
-    a, b = p.select(F.col("label").alias("cat"), F.col("vec_id").alias("i"), F.col("embedding").alias("za")), p.select(F.col("label").alias("cat"), F.col("vec_id").alias("j"), F.col("embedding").alias("zb"))
-    k = a.join(b, "cat").where("i < j").select("cat", kernels.box_product(F.col("za"), F.col("zb"), 2.0).alias("k"))
-    return k.groupBy("cat").agg(F.count_if(F.col("k") > 0).alias("nnz"), F.round(F.sum("k"), 9).alias("mass"))
+
+    def box(x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+        k = np.ones((len(x), len(y)))
+        for n in range(x.shape[1]):
+            t = np.minimum(np.abs(x[:, n, None] - y[None, :, n]) / 2.0, 1.0)
+            k *= (1 - t) ** 3 * (3 * t + 1)
+        return [(k > 0).astype(float), k]
+
+    sums = pairs.pair_sums(points(spark, sf_dir), ["nnz", "mass"], box)
+    return sums.select("cat", F.col("nnz").cast("long").alias("nnz"), F.round("mass", 9).alias("mass"))
 
 
 @both(f"""WITH {D}, k AS (SELECT i, j, {W2('d / 1.3::DOUBLE')} AS k FROM d WHERE d < 1.3) SELECT i, j, round(sqrt(2 - 2 * k), 6) AS kd FROM k""")

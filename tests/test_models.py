@@ -140,3 +140,25 @@ def test_metropolis_stays_in_bounds_and_repeats(spark):
     run = lambda: gp.metropolis(df, [2.0, 1.5], [(0.5, 4.0), (0.5, 4.0)], [(0, 3), (3, 6)], 0.2, 4, seed=1)
     a = run()
     assert a == run() and all(0.5 <= r <= 4.0 for s in a for r in s["radii"])
+
+
+def test_cross_validation_from_moments_equals_numpy(spark):
+    z, y, cat, df = frame(spark, cats=4)
+    by_fold = reg.fold_moments(df.unionByName(df.limit(2).withColumn("z", F.lit(None))), F.col("z"), F.col("y"), F.col("cat"))
+    own = lambda at: reg.Moments(float(at.sum()), np.column_stack([z, y])[at].sum(0), np.column_stack([z, y])[at].T @ np.column_stack([z, y])[at])
+    for fit in (lambda m: reg.ridge(m, 0.5), lambda m: reg.on_scores(m, reg.pls(m, 2)), lambda m: reg.on_scores(m, reg.pca(m, 3), 0.1)):
+        got = reg.cross_validated(by_fold, fit)
+        assert [k for k, *_ in got] == [0, 1, 2, 3, None]
+        errors = {}
+        for k, n, value in got[:-1]:
+            model = fit(own(cat != k))
+            e = y[cat == k] - model.intercept - z[cat == k] @ model.weights
+            errors[k] = (e @ e, ((y[cat == k] - y[cat == k].mean()) ** 2).sum())
+            assert n == (cat == k).sum() and np.isclose(value, 1 - errors[k][0] / errors[k][1])
+        assert np.isclose(got[-1][2], 1 - sum(a for a, _ in errors.values()) / sum(b for _, b in errors.values()))
+    m = own(cat >= 0)
+    p = reg.pls(m, 2)
+    s = ((z - p.mean) / p.width) @ p.weights
+    want, *_ = np.linalg.lstsq(np.column_stack([np.ones(len(s)), s]), y, rcond=None)
+    fit = reg.on_scores(m, p)
+    assert np.allclose(fit.intercept + z @ fit.weights, np.column_stack([np.ones(len(s)), s]) @ want)

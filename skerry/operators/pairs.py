@@ -104,6 +104,41 @@ def pair_sums(points: DataFrame, names: list[str], values: Callable[[np.ndarray,
     return parts.groupBy("cat").agg(*(F.sum(n).alias(n) for n in names))
 
 
+def pair_correlation(points: DataFrame, group: Column, y: str, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """One row: n, corr of distance with half the squared difference of y, and the mean of that half, over the pairs of equal groups.
+
+    Tiles return six sums; correlation is null where fewer than two pairs or no spread are left.
+    """
+    rows = points.select(F.col(id_col).alias("id"), group.alias("g"), F.concat(F.col(vector_col).cast("array<double>"), F.array(F.col(y).cast("double"))).alias("z")).where(F.col(y).isNotNull())
+
+    def values(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+        d = _tile_distances(a[:, :-1], b[:, :-1], 1, a.shape[1] - 1)
+        v = 0.5 * (a[:, -1:] - b[:, -1:].T) ** 2
+        return [np.ones_like(d), d, v, d * d, v * v, d * v]
+
+    names = ["n", "d", "v", "dd", "vv", "dv"]
+    n, d, v, dd, vv, dv = (F.sum(x) for x in names)
+    spread = F.sqrt((n * dd - d * d) * (n * vv - v * v))
+    sums = pair_sums(rows, names, values, "id", "g", "z")
+    return sums.agg(F.coalesce(n, F.lit(0.0)).cast("long").alias("n"), F.when((n > 1) & (spread > 0), (n * dv - d * v) / spread).alias("corr"), (v / F.nullif(n, F.lit(0.0))).alias("gamma"))
+
+
+def fisher_contrast(within: DataFrame, every: DataFrame, least: float = 1.96) -> DataFrame:
+    """Both rows of `pair_correlation` side by side, the difference of their correlations as Fisher's z, and the verdict.
+
+    The channel tells apart what the groups don't ("orthogonal") where the correlation inside groups is positive and not
+    less than that over all pairs by `least`; "redundant" otherwise, "undecided" where one is missing.
+    """
+    one = within.select(*(F.col(c).alias(f"{c}_within") for c in within.columns))
+    two = every.select(F.struct(*every.columns).alias("e")).scalar()
+    met = one.withColumn("e", two).select("*", *(F.col(f"e.{c}").alias(f"{c}_all") for c in every.columns)).drop("e")
+    wide = F.sqrt(1 / (F.col("n_within") - 3) + 1 / (F.col("n_all") - 3))
+    usable = (F.col("n_within") > 3) & (F.col("n_all") > 3) & (F.abs("corr_within") < 1) & (F.abs("corr_all") < 1)
+    z = F.when(usable, (F.atanh("corr_within") - F.atanh("corr_all")) / wide)
+    verdict = F.when(F.col("z").isNull(), "undecided").when((F.col("corr_within") > 0) & (F.col("z") > -least), "orthogonal").otherwise("redundant")
+    return met.withColumn("z", z).withColumn("verdict", verdict)
+
+
 def neighbour_counts(points: DataFrame, radii: list[float], id_col: str = "vec_id", cat_col: str = "label", vector_col: str = "embedding", tile: int = TILE_ROWS) -> DataFrame:
     """(id, c0, c1, ...): the other rows of the category nearer than each radius; tiles count, no pair leaves a task."""
     left, right = _tiles(points, id_col, cat_col, vector_col, tile)

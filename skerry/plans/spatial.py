@@ -102,6 +102,16 @@ def distance_target_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(g.spearman(x, ["all"], "d", "a").drop("all"))
 
 
+@both(f"""WITH {N}, w AS (SELECT d, 0.5 * (qy - cy) * (qy - cy) AS v, ql = cl AS alike FROM n WHERE query_id < neighbour_id), u AS (SELECT count_if(alike) AS n_within, corr(d, v) FILTER (alike) AS corr_within, avg(v) FILTER (alike) AS gamma_within, count(*) AS n_all, corr(d, v) AS corr_all, avg(v) AS gamma_all FROM w),
+  z AS (SELECT *, (atanh(corr_within) - atanh(corr_all)) / sqrt(1 / (n_within - 3)::DOUBLE + 1 / (n_all - 3)::DOUBLE) AS z FROM u)
+  SELECT n_within, round(corr_within, 6) AS corr_within, round(gamma_within, 6) AS gamma_within, n_all, round(corr_all, 6) AS corr_all, round(gamma_all, 6) AS gamma_all, round(z, 4) AS z, CASE WHEN corr_within > 0 AND z > -1.96 THEN 'orthogonal' ELSE 'redundant' END AS verdict FROM z""")
+def same_group_orthogonality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether distances still tell the target apart where the group, here the label, is the same."""
+    p = points(spark, sf_dir)
+    found = pairs.fisher_contrast(pairs.pair_correlation(p, F.col("label"), "y"), pairs.pair_correlation(p, F.lit(0), "y"))
+    return rounded(found.withColumn("z", F.round("z", 4)))
+
+
 # A prediction table: the mean of y by quantity as forecast, its deviation as sigma.
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("l_returnflag").alias("cat"), "l_quantity", "l_discount", (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_orderkey") % 2).alias("half"))

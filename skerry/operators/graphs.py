@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import sys
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skerry.operators.hot_keys import hot_join
 from skerry.session import durable
@@ -23,6 +25,47 @@ def bonds(atoms: DataFrame, radii: dict[int, float], scale: float = 1.2, default
     return near.select("gidx", F.col("a_i").alias("i"), F.col("b_i").alias("j"), "r")
 
 
+def bonds_by_scale(atoms: DataFrame, radii: dict[int, float], scales: list[float], default: float = 1.5) -> DataFrame:
+    """(gidx, i, j, r, scale): the bonds of every scale from one pass over the distances, those of the largest."""
+    known = F.create_map(*(F.lit(x) for pair in radii.items() for x in pair))
+    radius = atoms.select("gidx", "i", F.coalesce(F.try_element_at(known, "z"), F.lit(default)).alias("radius"))
+    near = bonds(atoms, radii, max(scales), default).join(radius, ["gidx", "i"]).join(radius.select("gidx", F.col("i").alias("j"), F.col("radius").alias("other")), ["gidx", "j"])
+    held = F.filter(F.array(*map(F.lit, scales)), lambda s: F.col("r") < s * (F.col("radius") + F.col("other")))
+    return near.select("gidx", "i", "j", "r", F.explode(held).alias("scale"))
+
+
+def fragments(atoms: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, atoms, bonds, fragments, largest, contact: the pieces of each record and the least distance between two of them (null for one piece).
+
+    A record is a small graph; its atoms (i, px, py, pz) and edges, both directions of (i, j), come together in one row.
+    """
+    n = atoms.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "px", "py", "pz"))).alias("nodes"))
+    e = edges.groupBy(*keys).agg(F.collect_list(F.struct("i", "j")).alias("edges"))
+    whole = n.join(e, keys, "left").select(*keys, "nodes", "edges")
+
+    def pieces(batches):
+        for batch in batches:
+            rows = []
+            for nodes, pairs in zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist()):
+                place = {a["i"]: k for k, a in enumerate(nodes)}
+                near: list[list[int]] = [[] for _ in nodes]
+                for p in pairs or []:
+                    near[place[p["i"]]].append(place[p["j"]])
+                piece = np.array(bridges_of(len(nodes), near)[0])
+                at = np.array([[a["px"], a["py"], a["pz"]] for a in nodes], float)
+                apart = piece[:, None] != piece[None, :]
+                d = np.sqrt(((at[:, None] - at[None]) ** 2).sum(-1))
+                sizes = np.unique(piece, return_counts=True)[1]
+                rows.append((len(nodes), sum(map(len, near)) // 2, len(sizes), int(sizes.max()), float(d[apart].min()) if apart.any() else None))
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = [pa.int64()] * 4 + [pa.float64()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[*keys, *names])
+
+    names = ["atoms", "bonds", "fragments", "largest", "contact"]
+    fields = [whole.schema[k] for k in keys] + [T.StructField(x, T.LongType()) for x in names[:4]] + [T.StructField("contact", T.DoubleType())]
+    return whole.mapInArrow(pieces, T.StructType(fields))
+
+
 def refine(nodes: DataFrame, edges: DataFrame, depth: int, edge_label: str | None = None) -> DataFrame:
     """(gidx, i, depth, label) for depths 0 to `depth`: each round hashes a label with its sorted neighbours' labels.
 
@@ -71,18 +114,6 @@ def oov(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     return marked.agg(F.avg(missing.cast("int")).alias("entries"), (F.sum(F.when(missing, F.col("cnt")).otherwise(0.0)) / F.sum("cnt")).alias("mass"))
 
 
-def sparse_gram(counts: DataFrame, cosine: bool = False) -> DataFrame:
-    """(i, j, k) for i < j that share a label: an equi-join on the label, then one sum."""
-    a = counts.select("depth", "label", F.col("gidx").alias("i"), F.col("cnt").alias("ci"))
-    b = counts.select("depth", "label", F.col("gidx").alias("j"), F.col("cnt").alias("cj"))
-    g = a.join(b, ["depth", "label"]).where("i < j").groupBy("i", "j").agg(F.sum(F.col("ci") * F.col("cj")).alias("k"))
-    if not cosine:
-        return g
-    n = counts.groupBy("gidx").agg(F.sqrt(F.sum(F.col("cnt") * F.col("cnt"))).alias("n"))
-    g = g.join(n.select(F.col("gidx").alias("i"), F.col("n").alias("ni")), "i").join(n.select(F.col("gidx").alias("j"), F.col("n").alias("nj")), "j")
-    return g.select("i", "j", (F.col("k") / (F.col("ni") * F.col("nj"))).alias("k"))
-
-
 def bond_types(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(gidx, bond, n) with labels of either end sorted, each bond once."""
     e = edges.where("i < j").join(nodes.select("gidx", "i", F.col("label").alias("a")), ["gidx", "i"]).join(nodes.select("gidx", F.col("i").alias("j"), F.col("label").alias("b")), ["gidx", "j"])

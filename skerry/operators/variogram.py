@@ -62,6 +62,22 @@ def nugget_sill_range(curve: DataFrame) -> DataFrame:
     return c.groupBy("nugget", "sill").agg(F.min(F.when(F.col("s") >= level, F.col("lag"))).alias("range"))
 
 
+def interpolated(targets: DataFrame, t: str, curve: DataFrame, x: str, y: str, name: str) -> DataFrame:
+    """targets with `name`, the curve's value at t between its two neighbouring points; beyond the ends, the end's value.
+
+    A curve has a row a bin or size, so that it goes to the rows as one array. Points with a null are left out; of points
+    of equal x the largest y counts; without points, and for a null t, the value is null.
+    """
+    points = curve.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).cast("double").alias("x")).agg(F.max(F.col(y).cast("double")).alias("y"))
+    rows = targets.withColumn(name, points.agg(F.sort_array(F.collect_list(F.struct("x", "y")))).scalar())
+    c, at = F.col(name), F.col(t).cast("double")
+    k = F.size(F.filter(c, lambda p: p["x"] <= at))
+    low, high = F.get(c, k - 1), F.get(c, k)
+    between = low["y"] + (high["y"] - low["y"]) * (at - low["x"]) / (high["x"] - low["x"])
+    value = F.when(k == 0, F.get(c, F.lit(0))["y"]).when(k == F.size(c), F.get(c, k - 1)["y"]).otherwise(between)
+    return rows.withColumn(name, F.when(at.isNotNull(), value))
+
+
 def by_nearest(errors: DataFrame, bins: int) -> DataFrame:
     """(bin, nn, rmse, running rmse, rolling and suffix median) of (d, dy) by distance to the nearest training row."""
     binned = equal_count_bins(errors, bins)

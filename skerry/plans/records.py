@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions import paths
 from skerry.functions import structures as s
-from skerry.operators import graphs, grouping, spectra
+from skerry.operators import graphs, grouping, shared_labels, spectra
 from skerry.plans.census import rounded
 from skerry.session import table
 
@@ -180,7 +180,7 @@ def vocab_oov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @both("""WITH w AS (SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS label FROM documents) SELECT label, count(*) AS doc_freq FROM w GROUP BY label HAVING count(*) >= 5""")
 def vocab_docfreq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("gidx"), F.lit(0).alias("depth"), F.explode(F.split("text", " ")).alias("label"))
+    w = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("gidx"), F.lit(0).alias("depth"), F.explode(F.array_distinct(F.split("text", " "))).alias("label"))
     return graphs.vocabulary(w, 5).select("label", "doc_freq")
 
 
@@ -199,7 +199,7 @@ def cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sparse_dot_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine of suppliers by the brands of what they supplied."""
     li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("label")), "l_partkey")
-    return rounded(graphs.sparse_gram(graphs.label_counts(li.select(F.col("l_suppkey").alias("gidx"), F.lit(0).alias("depth"), "label")), cosine=True))
+    return rounded(shared_labels.sparse_gram(graphs.label_counts(li.select(F.col("l_suppkey").alias("gidx"), F.lit(0).alias("depth"), "label")), cosine=True))
 
 
 @both("")
@@ -207,6 +207,32 @@ def graph_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.topology(atoms(spark, sf_dir), bonded(spark, sf_dir))
 
 
+SCALES = [1.0, 1.1, 1.2, 1.3]
+_PIECES = f"""{A}, r AS (SELECT *, CASE z WHEN 1 THEN 0.31::DOUBLE WHEN 6 THEN 0.76 WHEN 7 THEN 0.71 ELSE 0.66 END AS rad FROM a), sc AS (SELECT unnest({SCALES}::DOUBLE[]) AS scale),
+  d AS (SELECT m.gidx, m.i, n.i AS j, sqrt(power(m.px - n.px, 2) + power(m.py - n.py, 2) + power(m.pz - n.pz, 2)) AS r, m.rad + n.rad AS rad FROM r m JOIN r n ON m.gidx = n.gidx AND m.i <> n.i),
+  b AS (SELECT scale, gidx, i, j FROM d JOIN sc ON r > 1e-8 AND r < scale * rad), reach AS (SELECT scale, gidx, i, i AS j FROM a CROSS JOIN sc UNION SELECT x.scale, x.gidx, x.i, b.j FROM reach x JOIN b ON b.scale = x.scale AND b.gidx = x.gidx AND b.i = x.j),
+  piece AS (SELECT scale, gidx, i, min(j) AS piece FROM reach GROUP BY ALL), ct AS (SELECT p.scale, d.gidx, min(d.r) AS contact FROM d JOIN piece p ON p.gidx = d.gidx AND p.i = d.i JOIN piece q ON q.scale = p.scale AND q.gidx = d.gidx AND q.i = d.j WHERE p.piece <> q.piece GROUP BY 1, 2),
+  sz AS (SELECT scale, gidx, count(*) AS fragments, max(m) AS largest, sum(m)::BIGINT AS atoms FROM (SELECT scale, gidx, piece, count(*) AS m FROM piece GROUP BY ALL) GROUP BY ALL), bn AS (SELECT scale, gidx, count(*) // 2 AS bonds FROM b GROUP BY ALL),
+  f AS (SELECT scale, gidx, atoms, coalesce(bonds, 0) AS bonds, fragments, largest, contact FROM sz LEFT JOIN bn USING (scale, gidx) LEFT JOIN ct USING (scale, gidx))"""
+
+
+@both(f"WITH RECURSIVE {_PIECES} SELECT gidx, atoms, bonds, fragments, largest, round(contact, 6) AS contact FROM f WHERE scale = 1.2")
+def fragment_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of each structure, the largest, and the closest contact between two of them."""
+    return rounded(graphs.fragments(atoms(spark, sf_dir), bonded(spark, sf_dir), ["gidx"]))
+
+
+@both(f"""WITH RECURSIVE {_PIECES} SELECT scale, count(*) AS records, round(sum(bonds) / sum(atoms)::DOUBLE, 6) AS bonds_per_atom, round(2 * sum(bonds) / sum(atoms)::DOUBLE, 6) AS coordination, round(avg(bonds - atoms + fragments), 6) AS rings, round(avg((bonds - atoms + fragments = 0)::INT), 6) AS acyclic, round(avg((fragments > 1)::INT), 6) AS broken, round(avg(contact), 6) AS contact FROM f GROUP BY scale""")
+def perception_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bonds an atom, coordination, rings, acyclic and broken records at four scales of the bond rule, from one pass over distances."""
+    a = atoms(spark, sf_dir)
+    scaled = a.select("*", F.explode(F.array(*map(F.lit, SCALES))).alias("scale"))
+    f = graphs.fragments(scaled, graphs.bonds_by_scale(a, RADII, SCALES), ["scale", "gidx"]).withColumn("rings", F.col("bonds") - F.col("atoms") + F.col("fragments"))
+    share = lambda c: F.avg(c.cast("int"))
+    per_atom = F.sum("bonds") / F.sum("atoms")
+    return rounded(f.groupBy("scale").agg(F.count("*").alias("records"), per_atom.alias("bonds_per_atom"), (2 * per_atom).alias("coordination"), F.avg("rings").alias("rings"), share(F.col("rings") == 0).alias("acyclic"), share(F.col("fragments") > 1).alias("broken"), F.avg("contact").alias("contact")))
+
+
 @both("")
 def coulomb_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     s_ = spectra.spectra(structures(spark, sf_dir), 8)

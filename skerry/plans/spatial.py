@@ -86,14 +86,36 @@ def rmse_vs_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT round(regr_slope(ln(nn), ln(k)), 6) AS slope, round(-1 / regr_slope(ln(nn), ln(k)), 4) AS d_eff FROM m""")
 def nn_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slope of log nearest distance on log size: a fifth of the rows asks nested quarters, up to all, of the rest."""
+    slope = F.regr_slope(F.log("nn"), F.log("k"))
+    return nearest_by_size(spark, sf_dir).agg(F.round(slope, 6).alias("slope"), F.round(-1 / slope, 4).alias("d_eff"))
+
+
+def nearest_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(nn, k): mean nearest distance of a fifth of the rows among k quarters of the rest."""
     p, parts = points(spark, sf_dir), []
     for k in (1, 2, 3, 4):
         held = (F.col("vec_id") % 5 != 0) & (F.floor(F.col("vec_id") / 5) % 4 < k)
         near = pairs.nearest(p, 1, cat_col=None, queries=F.col("vec_id") % 5 == 0, candidates=held)
         parts.append(near.agg(F.avg("d").alias("nn")).withColumn("k", F.lit(k)))
-    curve = parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
-    slope = F.regr_slope(F.log("nn"), F.log("k"))
-    return curve.agg(F.round(slope, 6).alias("slope"), F.round(-1 / slope, 4).alias("d_eff"))
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+
+
+@both(f"""WITH {N}, x AS (SELECT d, qy - cy AS dy FROM s WHERE rank = 1), e AS (SELECT quantile_cont(d, {[k / 10 for k in range(1, 10)]}) AS edges FROM x), b AS (SELECT len(list_filter(edges, lambda t: t <= d))::INTEGER AS bin, d, dy FROM x CROSS JOIN e),
+  c AS (SELECT bin, avg(d) AS nn, 1 - avg(dy * dy) / (SELECT var_pop(y) FROM p) AS r2 FROM b GROUP BY bin), ar AS (SELECT list(nn ORDER BY nn) AS xs, list(r2 ORDER BY nn) AS ys FROM c),
+  g AS (SELECT k, query_id, min(d) AS d FROM n CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS k) WHERE query_id % 5 = 0 AND neighbour_id % 5 <> 0 AND neighbour_id // 5 % 4 < k GROUP BY 1, 2), m AS (SELECT k, avg(d) AS nn FROM g GROUP BY k),
+  sl AS (SELECT regr_slope(ln(nn), ln(k)) AS slope, max(nn) FILTER (k = 4) AS now FROM m), t AS (SELECT factor, now * power(factor, slope) AS pos FROM sl CROSS JOIN (SELECT unnest([1, 2, 4, 8, 16]) AS factor)),
+  z AS (SELECT factor, pos, xs, ys, len(list_filter(xs, lambda v: v <= pos)) AS k FROM t CROSS JOIN ar)
+  SELECT factor, round(pos, 6) AS nn, round(CASE WHEN k = 0 THEN ys[1] WHEN k = len(xs) THEN ys[-1] ELSE ys[k] + (ys[k + 1] - ys[k]) * (pos - xs[k]) / (xs[k + 1] - xs[k]) END, 6) AS r2 FROM z""")
+def projected_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R2 of the nearest row's value at 1 to 16 times the rows: the scaling law gives the distance, the curve of R2 by distance the value there."""
+    p = points(spark, sf_dir)
+    near = with_labels(pairs.nearest(p, 1), p).select("d", (F.col("qy") - F.col("cy")).alias("dy"))
+    curve = v.equal_count_bins(near, 10).groupBy("bin").agg(F.avg("d").alias("x"), F.avg(F.pow("dy", F.lit(2))).alias("e"))
+    curve = curve.withColumn("var", p.agg(F.var_pop("y")).scalar()).withColumn("r2", 1 - F.col("e") / F.col("var"))
+    law = nearest_by_size(spark, sf_dir).agg(F.regr_slope(F.log("nn"), F.log("k")).alias("slope"), F.max(F.when(F.col("k") == 4, F.col("nn"))).alias("now"))
+    targets = law.select(F.explode(F.array(*map(F.lit, (1, 2, 4, 8, 16)))).alias("factor"), "slope", "now")
+    targets = targets.select("factor", (F.col("now") * F.pow(F.col("factor"), F.col("slope"))).alias("nn"))
+    return rounded(v.interpolated(targets, "nn", curve, "x", "r2", "r2"))
 
 
 @both(f"""WITH {D}, x AS (SELECT d, abs(yi - yj) AS a FROM d), r AS (SELECT rank() OVER (ORDER BY d) + (count(*) OVER (PARTITION BY d) - 1) / 2 AS rd, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS ra FROM x) SELECT count(*) AS n, round(corr(rd, ra), 6) AS rho FROM r""")

@@ -47,3 +47,13 @@ def test_joined_quantiles_and_null_groups(spark):
     got = o.with_quantiles(table(spark, data()), ["cat"], "x", [0.5], "m")
     assert got.count() == len(data()) and got.columns == ["cat", "x", "row", "value", "c", "m"]
     assert got.where("cat IS NULL AND m IS NULL").count() == 0 and got.agg(F.max("cat")).first()[0] == "one"
+
+
+def test_interpolation_on_a_curve(spark):
+    from skerry.operators.variogram import interpolated
+
+    curve = spark.createDataFrame([(2.0, 10.0), (1.0, 5.0), (4.0, 0.0), (None, 3.0), (3.0, None), (4.0, -1.0)], "x double, y double")
+    targets = spark.createDataFrame([(k, v) for k, v in enumerate([0.0, 1.0, 1.5, 2.0, 3.0, 4.0, 9.0, None])], "k int, t double")
+    got = [r.v for r in interpolated(targets, "t", curve, "x", "y", "v").orderBy("k").collect()]
+    assert got == [5.0, 5.0, 7.5, 10.0, 5.0, 0.0, 0.0, None]
+    assert {r.v for r in interpolated(targets, "t", curve.limit(0), "x", "y", "v").collect()} == {None}

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 from skerry.llm.arrow_text import BLANK, CLASS, LETTER, LOWER, PUNCT, WIDE, as_bytes, per_text, pieces, starts_of
 
-CACHED_BYTES, LONGEST, ENTRY_BYTES = 64 << 20, 64, 180  # an entry holds a string, a number and its share of a dictionary
+CACHED_BYTES, LONGEST, ENTRY_BYTES = 48 << 20, 64, 16  # beside its text and ids an entry holds an offset and a number
 SCHEMES = ("bytes", "words")
 
 
@@ -56,18 +56,8 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.places: dict[str, int] = {}
-        self.held = 0
-        self.firsts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
-        self.chunks = self.used = 0
-
-    @staticmethod
-    def _put(into: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
-        """The array with values from `at` on, doubled where it is too short."""
-        if at + len(values) > len(into):
-            into = np.concatenate([into[:at], np.zeros(max(at, len(values)) + len(values), into.dtype)])
-        into[at : at + len(values)] = values
-        return into
+        self.chunks, self.held = pa.array([], pa.large_string()), 0
+        self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, self.dtype)
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and all ids end to end."""
@@ -75,31 +65,26 @@ class Encoder:
         lengths = np.fromiter(map(len, each), np.int64, len(each))
         return lengths, np.fromiter(chain.from_iterable(each), self.dtype, int(lengths.sum()))
 
-    def _learn(self, distinct: pa.Array) -> np.ndarray:
-        """Places of the distinct chunks in `firsts` and `lengths`; those not yet known are encoded.
-
-        Places of long chunks hold until the next call only: they stand after the kept ones and are written over.
-        """
+    def _learn(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the distinct chunks in the two arrays that follow: numbers of ids, and all ids. New short chunks are kept."""
         if self.held > CACHED_BYTES:
             self._forget()
-        texts = distinct.to_pylist()
-        place = np.fromiter(map(self.places.get, texts, repeat(-1)), np.int64, len(texts))
+        at = pc.index_in(distinct, value_set=self.chunks)
+        if not at.null_count:
+            return at.to_numpy(zero_copy_only=False), self.lengths, self.flat
+        place = pc.cast(at, pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False).copy()
         missing = np.flatnonzero(place < 0)
-        if len(missing):
-            sizes = pc.binary_length(distinct).to_numpy(zero_copy_only=False)[missing]
-            missing = missing[np.argsort(sizes > LONGEST, kind="stable")]
-            short = int((sizes <= LONGEST).sum())
-            new = [texts[i] for i in missing.tolist()]
-            lengths, flat = self._ids(new)
-            place[missing] = self.chunks + np.arange(len(new))
-            self.firsts = self._put(self.firsts, self.chunks, self.used + np.cumsum(lengths) - lengths)
-            self.lengths = self._put(self.lengths, self.chunks, lengths)
-            self.flat = self._put(self.flat, self.used, flat)
-            kept = int(lengths[:short].sum())
-            self.places.update(zip(new[:short], range(self.chunks, self.chunks + short)))
-            self.held += int(sizes[sizes <= LONGEST].sum()) + short * ENTRY_BYTES + kept * self.dtype.itemsize
-            self.chunks, self.used = self.chunks + short, self.used + kept
-        return place
+        sizes = pc.binary_length(distinct).to_numpy(zero_copy_only=False)[missing]
+        missing, short = missing[np.argsort(sizes > LONGEST, kind="stable")], int((sizes <= LONGEST).sum())
+        new = distinct.take(pa.array(missing))
+        lengths, flat = self._ids(new.to_pylist())
+        place[missing] = len(self.chunks) + np.arange(len(new))
+        every, ids, kept = np.append(self.lengths, lengths), np.append(self.flat, flat), int(lengths[:short].sum())
+        # Long chunks stand last, so that what is kept is the first part of both arrays.
+        self.lengths, self.flat = every[: len(self.chunks) + short], ids[: len(self.flat) + kept]
+        self.chunks = pa.concat_arrays([self.chunks, new.slice(0, short)])
+        self.held += int(sizes[sizes <= LONGEST].sum()) + short * ENTRY_BYTES + kept * self.dtype.itemsize
+        return place, every, ids
 
     def _starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         c = CLASS[data]
@@ -133,12 +118,12 @@ class Encoder:
             folded[held] = data[held]  # a mark may join the letter before it: the tokenizer folds these itself
             data = folded
         chunks = pieces(data, starts).dictionary_encode()
-        which = self._learn(chunks.dictionary)[chunks.indices.to_numpy()]
-        counts = self.lengths[which]
+        places, lengths, flat = self._learn(chunks.dictionary)
+        which = places[chunks.indices.to_numpy()]
+        first = np.cumsum(lengths) - lengths
+        counts = lengths[which]
         ends = np.cumsum(counts)
-        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.firsts[which] - (ends - counts), counts)]
-        if len(self.flat) > 2 * self.used + (1 << 20):  # room that long chunks took
-            self.flat = self.flat[: self.used].copy()
+        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[which] - (ends - counts), counts)]
         cuts = np.append(0, ends)[per_text(starts, offsets)]
         out = [ids[a:b] for a, b in zip(cuts, cuts[1:])]
         odd = np.union1d(np.searchsorted(offsets, _odd_blanks(data), side="right") - 1, self._with_added(texts))

@@ -96,9 +96,9 @@ def cross_validated(by_fold: dict[int, Moments], fit: Callable[[Moments], Linear
         model = fit(Moments(*(a - getattr(own, f) for a, f in zip(every, names))))
         c, b = np.append(-model.weights, 1.0), model.intercept
         error = float(c @ own.cross @ c - 2 * b * (c @ own.total) + own.n * b * b)
-        out.append((k, own.n, 1 - error / own.scatter[-1, -1]))
-        lost, spread = lost + error, spread + own.scatter[-1, -1]
-    return [*out, (None, every[0], 1 - lost / spread)]
+        out.append((k, float(own.n), float(1 - error / own.scatter[-1, -1])))
+        lost, spread = lost + error, spread + float(own.scatter[-1, -1])
+    return [*out, (None, float(every[0]), 1 - lost / spread)]
 
 
 @dataclass(frozen=True)

@@ -142,6 +142,14 @@ def test_metropolis_stays_in_bounds_and_repeats(spark):
     assert a == run() and all(0.5 <= r <= 4.0 for s in a for r in s["radii"])
 
 
+def test_cross_validation_gives_plain_floats(spark):
+    _, _, _, df = frame(spark)
+    found = reg.cross_validated(reg.fold_moments(df, F.col("z"), F.col("y"), F.col("cat")), lambda m: reg.ridge(m, 0.5))
+    assert all(type(n) is float and type(value) is float for _, n, value in found)
+    rows = [(k, int(n), round(value, 6)) for k, n, value in found]
+    assert spark.createDataFrame(rows, "fold int, n long, r2 double").count() == 4
+
+
 def test_cross_validation_from_moments_equals_numpy(spark):
     z, y, cat, df = frame(spark, cats=4)
     by_fold = reg.fold_moments(df.unionByName(df.limit(2).withColumn("z", F.lit(None))), F.col("z"), F.col("y"), F.col("cat"))

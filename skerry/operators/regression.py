@@ -200,6 +200,11 @@ def on_scores(m: Moments, projection: Projection, penalty: float = 0.0) -> Linea
     return Linear(float(m.mean[-1] - w @ m.mean[:-1]), w, rest / max(m.n - len(beta) - 1, 1), a @ np.linalg.pinv(a.T @ s[:-1, :-1] @ a) @ a.T, m.mean[:-1], m.n)
 
 
+def r2_on_scores(m: Moments, projection: Projection, components: int) -> float:
+    """R2 of least squares on the first `components` scores, or on all where the projection stopped earlier."""
+    return r2(m, on_scores(m, Projection(projection.mean, projection.width, projection.weights[:, :components])))
+
+
 def canonical_correlations(m: Moments, split: int) -> np.ndarray:
     """Between the first `split` columns and the others but y."""
     s = m.scatter[:-1, :-1]

@@ -142,6 +142,26 @@ def test_metropolis_stays_in_bounds_and_repeats(spark):
     assert a == run() and all(0.5 <= r <= 4.0 for s in a for r in s["radii"])
 
 
+def test_r2_by_components_where_pls_stops_early(spark):
+    rows = spark.createDataFrame([([float(i), float(i % 7)], 3.0 * i) for i in range(40)], "z array<double>, y double")
+    m = reg.moments(rows, F.col("z"), F.col("y"))
+    model = reg.pls(m, 10)
+    assert model.weights.shape[1] < 10
+    found = [reg.r2_on_scores(m, model, k) for k in (1, 2, 5, 10)]
+    assert all(type(v) is float for v in found) and found[0] < found[1] and np.allclose(found[1:], 1)
+
+
+def test_r2_on_scores_equals_least_squares_on_the_scores(spark):
+    z, y, _, df = frame(spark)
+    m = reg.moments(df, F.col("z"), F.col("y"))
+    model = reg.pls(m, 4)
+    s = ((z - model.mean) / model.width) @ model.weights
+    for k in (1, 2, 4):
+        x = np.column_stack([np.ones(len(s)), s[:, :k]])
+        e = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+        assert np.isclose(reg.r2_on_scores(m, model, k), 1 - e @ e / ((y - y.mean()) ** 2).sum())
+
+
 def test_cross_validation_gives_plain_floats(spark):
     _, _, _, df = frame(spark)
     found = reg.cross_validated(reg.fold_moments(df, F.col("z"), F.col("y"), F.col("cat")), lambda m: reg.ridge(m, 0.5))

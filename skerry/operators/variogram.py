@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.operators import order_stats
+from skerry.operators.pair_order import Found, Pairs, with_target
+from skerry.session import durable
 
 
 def equal_count_bins(pairs: DataFrame, bins: int, over: list[str] | None = None) -> DataFrame:
@@ -88,3 +91,42 @@ def by_nearest(errors: DataFrame, bins: int) -> DataFrame:
         "bin", "nn", "rmse", running.alias("cumulative"), F.percentile("rmse", 0.5).over(w.rowsBetween(-1, 1)).alias("rolling"),
         F.percentile("rmse", 0.5).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("suffix"),
     )
+
+
+def pair_curve(points: DataFrame, bins: int, lag: str = "median", estimator: str = "matheron", upto: float | None = None, whole: bool = True, y: str = "y", cat_col: str = "label") -> DataFrame:
+    """(g, bin, lag, gamma, n) of all pairs of a category, g being the category or, if `whole`, 0 for all; tiles count and sum, no pair is written.
+
+    Bins hold equal counts, or with `upto` are of equal width up to that percentile of d. The bins' medians are values at
+    ranks, since a bin follows the one before it.
+    """
+
+    every = Pairs(with_target(points, y), [(0, -1)], whole=whole, target=True, cat_col=cat_col)
+    histogram, found = every.quantiles([k / bins for k in range(1, bins)] if upto is None else [upto])
+    edges = {g: np.array(q) for (g, _), q in found.items()}
+
+    def terms(g, pair: Found) -> tuple[np.ndarray, list[np.ndarray]]:
+        if upto is None:
+            at = pair.placed(0, lambda d: np.searchsorted(edges[g], d, "right"))
+        else:
+            top = edges[g][0]
+            at = pair.placed(0, lambda d: np.where(d <= top, np.minimum(np.floor(d / (top / bins)), bins - 1), bins).astype(int))
+            at[at == bins] = -1
+        return at, [pair.at[0], pair.dy**2 if estimator == "matheron" else np.sqrt(pair.dy)]
+
+    sums = durable(every.summed(terms, ["sd", "se"]))
+    mean = F.col("se") / F.col("n")
+    gamma = 0.5 * mean if estimator == "matheron" else 0.5 * F.pow(mean, 4) / (0.457 + 0.494 / F.col("n"))
+    if lag == "mean":
+        return sums.select("g", "bin", (F.col("sd") / F.col("n")).alias("lag"), gamma.alias("gamma"), "n")
+    first, ranks = {}, {}
+    for r in sums.select("g", "bin", "n").orderBy("g", "bin").collect():  # a row a bin
+        start = first.get(r["g"], 0)
+        first[r["g"]] = start + r["n"]
+        ranks[r["g"], r["bin"]] = (start + (r["n"] - 1) // 2, start + r["n"] // 2)
+    asked: dict[tuple[object, int], list[int]] = {}
+    for (g, _), ends in ranks.items():
+        asked.setdefault((g, 0), []).extend(ends)
+    at = every.at_ranks(histogram, asked) if ranks else {}
+    medians = [(g, b, 0.5 * (at[g, 0][low][0] + at[g, 0][high][0])) for (g, b), (low, high) in ranks.items()]
+    lags = points.sparkSession.createDataFrame(medians, f"g {every.kind}, bin int, lag double")
+    return sums.select("g", "bin", gamma.alias("gamma"), "n").join(F.broadcast(lags), ["g", "bin"]).select("g", "bin", "lag", "gamma", "n")

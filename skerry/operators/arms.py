@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from skerry.functions import stats
 from skerry.operators import order_stats, pairs
 from skerry.operators.sampling import global_places, order_key
+from skerry.session import durable
 
 LEAST = 1e-9
 ARMS = ("constant", "size_category", "distance", "latent", "latent_noise")
@@ -32,11 +33,11 @@ def neighbour_means(near: DataFrame, rows: DataFrame, id_col: str, y: str) -> Da
 
 
 def predicted(rows: DataFrame, fold: str, k: int, id_col: str = "vec_id", vector_col: str = "embedding", y: str = "y") -> DataFrame:
-    """(id, fold, y, mu, latent, distance) from the k nearest rows of other folds."""
+    """(id, fold, y, mu, latent, distance) from the k nearest rows of other folds; searched once, since what is fitted reads it many times."""
     rows = rows.where(F.col(fold).isNotNull() & F.col(y).isNotNull())
     near = pairs.nearest(rows, k, id_col, vector_col, None, apart=F.col(fold))
     own = rows.select(F.col(id_col).alias("id"), F.col(fold).alias("fold"), F.col(y).alias("y"))
-    return own.join(neighbour_means(near, rows, id_col, y), "id")
+    return durable(own.join(neighbour_means(near, rows, id_col, y), "id"))
 
 
 def other_folds(rows: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
@@ -73,7 +74,7 @@ def cross_scaled(long: DataFrame, half: Column) -> DataFrame:
     rows = long.withColumn("half", half.cast("int"))
     z = F.pow((F.col("y") - F.col("mu")) / F.col("sigma"), 2)
     fits = rows.groupBy("arm", "half").agg(F.sqrt(F.avg(z)).alias("scale")).select("arm", (1 - F.col("half")).alias("half"), "scale")
-    return rows.join(F.broadcast(fits), ["arm", "half"]).withColumn("scaled", F.greatest(F.col("scale") * F.col("sigma"), F.lit(LEAST))).drop("scale")  # two rows an arm
+    return durable(rows.join(F.broadcast(fits), ["arm", "half"]).withColumn("scaled", F.greatest(F.col("scale") * F.col("sigma"), F.lit(LEAST))).drop("scale"))  # two rows an arm
 
 
 def rank_skill(long: DataFrame, keys: list[str], share: float = 0.05) -> DataFrame:
@@ -136,7 +137,7 @@ def held_out(rows: DataFrame, k: int, families: int, test: Column, seed: int, id
     inside = pairs.nearest(control, k, "id", "z", "scope", queries=F.col("q"), candidates=F.col("held"))
     both = [neighbour_means(near, rows, "id", "y").withColumn("split", F.lit(name)) for near, name in ((apart, "held_out"), (inside, "control"))]
     sigma = F.greatest(F.col("latent") * F.sqrt(F.lit(1 + 1 / k)), F.lit(LEAST))
-    return rows.select("id", "cat", "y").join(both[0].unionByName(both[1]), "id").select("cat", "split", "id", "y", "mu", sigma.alias("sigma"))
+    return durable(rows.select("id", "cat", "y").join(both[0].unionByName(both[1]), "id").select("cat", "split", "id", "y", "mu", sigma.alias("sigma")))  # as in `predicted`
 
 
 def split_scores(found: DataFrame) -> DataFrame:

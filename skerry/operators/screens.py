@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.operators import order_stats, sampling, variogram
+from skerry.session import durable
 
 BYTES_PER_ENTRY = 12
 
@@ -45,8 +46,12 @@ def captured(curve: DataFrame) -> DataFrame:
 
 
 def structure(pairs: DataFrame, bins: int) -> DataFrame:
-    """One row: nugget, sill, range and the structured share (1 - nugget / sill) of the variogram of (d, dy)."""
-    fit = variogram.nugget_sill_range(variogram.semivariance(variogram.equal_count_bins(pairs, bins), lag="mean"))
+    """One row: nugget, sill, range and the structured share (1 - nugget / sill) of the variogram of (d, dy).
+
+    The curve, a row a bin, is written, so that what is built on it holds no plan over the pairs.
+    """
+    curve = durable(variogram.semivariance(variogram.equal_count_bins(pairs, bins), lag="mean"))
+    fit = variogram.nugget_sill_range(curve)
     return fit.withColumn("structured", F.when(F.col("sill") > 0, 1 - F.col("nugget") / F.col("sill")).otherwise(0.0))
 
 

@@ -80,3 +80,13 @@ def test_repeats_with_nulls_and_no_rows(spark):
     assert grouping.repeats(df, "k").first().asDict() == {"values": 3, "repeated_share": 5 / 6, "largest": 3}
     assert [tuple(r) for r in grouping.largest_counts(df, "k", 2).orderBy("rank").collect()] == [(1, 3), (2, 2)]
     assert grouping.repeats(df.limit(0), "k").first().asDict() == {"values": 0, "repeated_share": None, "largest": None}
+
+
+def test_screening_table_keeps_a_small_plan(spark, tmp_path):
+    """The curves are written, so that no metric's plan holds the drawing of its pairs again for each figure."""
+    from skerry.plans import screens as plans
+
+    rows = [(i, [float(((i + 1) * k * 7919) % 97) / 97 for k in range(1, 9)], i % 3) for i in range(60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    plan = plans.screening_table(spark, str(tmp_path))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Relation [") == 0

@@ -5,10 +5,14 @@ Drawn pairs keep a screen linear in the rows: each row meets a fixed number of p
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skerry.operators import order_stats, sampling, variogram
+from skerry.operators import order_stats, pairs, sampling, variogram
 from skerry.session import durable
 
 BYTES_PER_ENTRY = 12
@@ -95,6 +99,32 @@ def curve_verdict(curve: DataFrame) -> DataFrame:
     return curve.select("m", "r2", gain.alias("gain")).withColumn("climbing", F.coalesce(F.col("gain") > 0.02, F.lit(False)))
 
 
+def pooled_kernel(points: DataFrame, pool: Column, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], id_col: str = "vec_id", cat_col: str = "label", vector_col: str = "embedding") -> DataFrame:
+    """(i, j, k) between pools: sums of a kernel that is zero across categories over the members of either; tiles sum, no pair leaves a task."""
+    rows = points.withColumn(vector_col, F.concat(F.col(vector_col).cast("array<double>"), F.array(pool.cast("double"))))
+    left, right = pairs._tiles(rows, id_col, cat_col, vector_col, pairs.TILE_ROWS)
+
+    def total(key, a: pa.Table, b: pa.Table) -> pa.Table:
+        i, j, k = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if a.num_rows and b.num_rows:
+            same = key[1].as_py() == key[2].as_py()
+            x = pairs._matrix(a.column("z"))
+            y = x if same else pairs._matrix(b.column("z"))
+            (one, at), (other, to) = (np.unique(z[:, -1], return_inverse=True) for z in (x, y))
+            member = np.eye(len(other))[to]
+            sums = np.zeros((len(one), len(other)))
+            for s in range(0, len(x), 256):
+                sums += np.eye(len(one))[at[s : s + 256]].T @ (kernel(x[s : s + 256, :-1], y[:, :-1]) @ member)
+            r, c = np.nonzero(sums)
+            i, j, k = [one[r].astype(np.int64)], [other[c].astype(np.int64)], [sums[r, c]]
+            if not same:
+                i, j, k = [*i, j[0]], [*j, i[0]], [*k, k[0]]
+        return pa.table({n: pa.array(np.concatenate(v)) for n, v in (("i", i), ("j", j), ("k", k))})
+
+    met = left.groupBy("cat", "q", "c").cogroup(right.groupBy("cat", "q", "c")).applyInArrow(total, "i long, j long, k double")
+    return met.groupBy("i", "j").agg(F.sum("k").alias("k"))
+
+
 def pooled_gram(near: DataFrame, members: DataFrame) -> DataFrame:
     """(i, j, k) between pools: sums of the kernel over the members of either, from (i, j, k) in both directions with its diagonal and (id, pool)."""
     a = members.select(F.col("id").alias("i"), F.col("pool").alias("a"))

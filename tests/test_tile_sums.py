@@ -26,3 +26,16 @@ def test_tile_sums_take_each_pair_once(spark):
     y = np.array([k * k % 11 for k in range(60)], float)
     d, v = np.sqrt(((z[i] - z[j]) ** 2).sum(1)), 0.5 * (y[i] - y[j]) ** 2
     assert f["n"] == len(i) and f["corr"] == pytest.approx(np.corrcoef(d, v)[0, 1], abs=1e-9) and f["gamma"] == pytest.approx(v.mean())
+
+
+def test_pooled_kernel_is_the_sandwich_product(spark):
+    from skerry.operators import screens
+
+    z, rows = _rows(spark)
+    kernel = lambda a, b: gaussian.wendland_c2(gaussian.distances(a, b) / 0.6)
+    k = kernel(z, z) * (np.arange(60)[:, None] % 2 == np.arange(60)[None, :] % 2)
+    pool = np.eye(6)[np.arange(60) % 6]
+    got = np.zeros((6, 6))
+    for r in screens.pooled_kernel(rows, F.col("vec_id") % 6, kernel).collect():
+        got[r["i"], r["j"]] = r["k"]
+    assert np.allclose(got, pool.T @ k @ pool)

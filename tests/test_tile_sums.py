@@ -39,3 +39,12 @@ def test_pooled_kernel_is_the_sandwich_product(spark):
     for r in screens.pooled_kernel(rows, F.col("vec_id") % 6, kernel).collect():
         got[r["i"], r["j"]] = r["k"]
     assert np.allclose(got, pool.T @ k @ pool)
+
+
+def test_vocabulary_scores_write_their_counts_once(spark, monkeypatch):
+    from skerry.plans import vocab
+
+    kept = []
+    monkeypatch.setattr(vocab, "durable", lambda df, own=vocab.durable: kept.append(df.columns) or own(df))
+    vocab.vocabulary_scores(spark, "/root/testdata/sf0.001")
+    assert kept == [["gidx", "depth", "label", "cnt"], ["row", "col", "val"]]

@@ -111,7 +111,8 @@ def broadened(values: Column, centres: list[float], width: float) -> Column:
 
 
 def binned_shares(values: Column, low: float, width: float, bins: int) -> Column:
-    """Shares of values by bin, the last bin holding the overflow; zeros without values."""
+    """Shares of values by bin, the last bin holding the overflow; zeros without values. The values are computed once, not for each bin."""
     bin_ = F.transform(values, lambda v: F.least(F.floor((v - low) / width), F.lit(bins - 1)))
-    count = lambda k: F.size(F.filter(bin_, lambda b: b == k)) / F.greatest(F.size(values), F.lit(1))
-    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), count)
+    share = lambda held, k: F.size(F.filter(held, lambda b: b == k)) / F.greatest(F.size(held), F.lit(1))
+    shares = lambda held: F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: share(held, k))
+    return F.get(F.transform(F.array(bin_), shares), F.lit(0))

@@ -32,8 +32,9 @@ class Channel:
 
     @classmethod
     def dense(cls, name: str, width: int, rows: DataFrame, values: Column) -> Channel:
-        """From (row, ...) with an array of `width` values."""
-        return cls(name, width, rows.select("row", F.posexplode(values).alias("slot", "value")))
+        """From (row, ...) with an array of `width` values, of which zeros don't move."""
+        every = rows.select("row", F.posexplode(values).alias("slot", "value"))
+        return cls(name, width, every.where((F.coalesce("value", F.lit(0)) != 0) | (F.col("slot") >= width)))
 
 
 def directory(channels: list[Channel]) -> list[tuple[str, int, int]]:

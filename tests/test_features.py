@@ -53,3 +53,19 @@ def test_labels_are_counted_in_their_row(spark):
         assert sorted(got.collect(), key=repr) == sorted(want.collect(), key=repr) and got.columns == want.columns
     records = rows.localCheckpoint()
     assert "Exchange" not in graphs.row_counts(records, True)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_zeros_of_a_dense_channel_do_not_move(spark):
+    rows = spark.createDataFrame([(1, [0.0, 2.0, None]), (2, [0.0, 0.0, 0.0])], "row long, v array<double>")
+    channel = f.Channel.dense("d", 3, rows, F.col("v"))
+    assert [tuple(r) for r in channel.entries.collect()] == [(1, 1, 2.0)]
+    assert {r.row: list(r.vector) for r in f.assembled(rows, [channel]).collect()} == {1: [0.0, 2.0, 0.0], 2: [0.0, 0.0, 0.0]}
+
+
+def test_binned_shares_compute_their_values_once(spark):
+    from skerry.functions import structures as st
+
+    rows = spark.createDataFrame([([0.1, 0.2, 5.0],), ([],)], "v array<double>")
+    slow = F.transform("v", lambda x: x + F.rand(3))  # differs by call: bins of one evaluation hold each value once
+    assert [sum(r[0]) for r in rows.select(st.binned_shares(slow, 0.0, 0.25, 4)).collect()] == [1.0, 0.0]
+    assert [list(r[0]) for r in rows.select(st.binned_shares(F.col("v"), 0.0, 0.25, 4)).collect()] == [[2 / 3, 0.0, 0.0, 1 / 3], [0.0] * 4]

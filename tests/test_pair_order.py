@@ -36,3 +36,24 @@ def test_quantiles_and_curves_without_writing_pairs(spark, monkeypatch, whole):
 def test_no_pairs(spark):
     df = frame(spark)[3].where("vec_id = 1")
     assert variogram.pair_curve(df, 4).count() == 0 and variogram.pair_curve(df.where(F.lit(False)), 4, "mean", upto=0.9).count() == 0
+
+
+def ranks(v):
+    _, at, n = np.unique(v, return_inverse=True, return_counts=True)
+    return (np.cumsum(n) - n + (n + 1) / 2)[at]
+
+
+@pytest.mark.parametrize("ties", [True, False])
+def test_rank_correlation_in_rounds(spark, monkeypatch, ties):
+    """Several blocks a tile, parts a round and rounds; no pair's row is shuffled."""
+    monkeypatch.setattr(pair_order, "TILE", 20)
+    z, cat, y, df = frame(spark)
+    if not ties:
+        z, cat = np.random.default_rng(1).normal(size=(90, 4)), np.arange(90) % 2
+    df = spark.createDataFrame([(i, [float(v) for v in z[i]], int(cat[i]), float(y[i])) for i in range(90)], df.schema).repartition(3)
+    i, j = np.nonzero((cat[:, None] == cat[None, :]) & (np.arange(90)[:, None] < np.arange(90)[None, :]))
+    d, a = np.sqrt(((z[i] - z[j]) ** 2).sum(1)), np.abs(y[i] - y[j])
+    n, rho, loss = pair_order.rank_correlation(df, part=150 if ties else 20, most=400)
+    assert n == len(i) and loss < pair_order.LOSS and rho == pytest.approx(np.corrcoef(ranks(d), ranks(a))[0, 1], abs=1e-8)
+    assert pair_order.rank_correlation(df.where("vec_id = 1")) == (0, None, 0.0)
+    assert pair_order.rank_correlation(df.where("vec_id < 3 AND label = 0"))[:2] == (1, None)

@@ -119,3 +119,55 @@ def test_means_by_weight(spark):
     rows = [(b, s, float(w), [float(b + s)] * 3) for b in range(3) for s, w in enumerate((1, 3, 4))]
     got = lm.averaged(spark.createDataFrame(rows, "block int, salt int, weight double, values array<float>"))
     assert np.allclose(got, np.repeat([11 / 8, 19 / 8, 27 / 8], 3))
+
+
+def far_words(n=700):
+    """A model whose words beyond the head stand in trees of two or three levels."""
+    v = lm.Vocabulary([(f"w{k}".encode(), 5000 - k) for k in range(r.HEAD + n)], 7, 5000 * 3000, 4000)
+    m = r.Model.initial(v.symbol_counts, 1, v.tree)
+    m.values = {k: x.astype(np.float64) for k, x in m.values.items()}
+    return v, m
+
+
+def test_state_decides_about_words_beyond_the_head():
+    """They sum to one for any weights, start from their counts, and differ from them after another word."""
+    v, m = far_words()
+    numbers = v.symbols_of(np.arange(len(v.words)))
+    alone = np.array([r.log_probabilities(m, [np.array([s])])[0] for s in numbers])
+    classes = np.array([r.log_probabilities(m, [np.array([s])])[0] for s in v.symbols])
+    assert np.allclose(alone, classes + v.within * math.log(10), atol=1e-5)
+    m.values["t"] = np.random.default_rng(3).standard_normal(m.values["t"].shape)
+    rare = r.log_probabilities(m, [np.array([v.rare])])[0]
+    after = np.array([r.log_probabilities(m, [np.array([numbers[-1], s])])[0] - r.log_probabilities(m, [numbers[-1:]])[0] for s in numbers])
+    alone = np.array([r.log_probabilities(m, [np.array([s])])[0] for s in numbers])
+    assert abs(np.exp(alone).sum() + math.exp(rare) - 1) < 1e-4 and abs(alone - after)[r.HEAD :].max() > 0.1
+    assert len(set(r.input_rows(numbers))) == len(numbers)
+
+
+def test_trees_learn():
+    v, m = far_words()
+    a, b = v.symbols_of(np.array([400, 900]))
+    docs = [np.array([a, b] * 40 + [0])] * 40
+    before = r.log_probabilities(m, docs[:1])[0]
+    m.values = {k: x.astype(np.float32) for k, x in m.values.items()}
+    for _ in range(5):
+        r.train(m, docs)
+    assert r.log_probabilities(m, docs[:1])[0] > before / 2
+
+
+def test_gradients_of_trees_agree_with_differences():
+    v, m = far_words()
+    rng = np.random.default_rng(6)
+    m.values["t"] = rng.standard_normal(m.values["t"].shape) / 4
+    h, words = rng.standard_normal((50, r.HIDDEN)), v.symbols_of(rng.integers(0, len(v.words), 50))
+    _, grads, dh = r.output(m, h.copy(), words, learn=True)
+    full = np.zeros(r.SHAPES["t"])
+    full[grads.pop("slots")] = grads.pop("t")
+    for table, g in ((m.values["t"], full), (h, dh)):
+        for at in zip(*(x[:4] for x in np.unravel_index(np.argsort(-abs(g), axis=None)[:4], g.shape))):
+            old, loss = table[at], []
+            for step in (1e-4, -1e-4):
+                table[at] = old + step
+                loss.append(-r.output(m, h.copy(), words)[0].sum())
+            table[at] = old
+            assert (loss[0] - loss[1]) / 2e-4 == pytest.approx(g[at], rel=1e-3, abs=1e-3)
